@@ -41,16 +41,20 @@ def near(a: Column, b: Column, days: int = ALIGNMENT_DAYS) -> Column:
     return F.abs(F.datediff(a, b)) <= days
 
 
-def comparable_year_over_year(now_start: Column, now_end: Column, prior_start: Column, prior_end: Column) -> Column:
-    """Cell: OK when both periods have one real kind and end about a year apart."""
+def comparability_problem(now_start: Column, now_end: Column, prior_start: Column, prior_end: Column) -> Column:
+    """Why two periods cannot be compared year over year; NULL when they can."""
     now_kind, prior_kind = period_kind(now_start, now_end), period_kind(prior_start, prior_end)
-    return (
-        F.when((now_kind == OTHER) | (now_kind != prior_kind), absent(NOT_COMPARABLE, "PERIOD_LENGTH_MISMATCH"))
-        .when(~years_apart(now_end, prior_end), absent(NOT_COMPARABLE, "NOT_ONE_YEAR_APART"))
-        .otherwise(ok(1.0))
+    return F.when((now_kind == OTHER) | (now_kind != prior_kind), "PERIOD_LENGTH_MISMATCH").when(
+        ~years_apart(now_end, prior_end), "NOT_ONE_YEAR_APART"
     )
 
 
+def comparable_year_over_year(now_start: Column, now_end: Column, prior_start: Column, prior_end: Column) -> Column:
+    """Cell: OK when both periods have one real kind and end about a year apart."""
+    problem = comparability_problem(now_start, now_end, prior_start, prior_end)
+    return F.when(problem.isNotNull(), absent(NOT_COMPARABLE, problem)).otherwise(ok(1.0))
+
+
 def anchor_date(as_of, *, days: int = 0, months: int = 0, years: int = 0) -> Column:
     """``as_of`` minus a calendar horizon; a missing day of month becomes that month's last day."""
     return F.date_sub(F.add_months(as_column(as_of).cast("date"), -(months + 12 * years)), days)

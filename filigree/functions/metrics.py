@@ -31,14 +31,14 @@ FULL_WINDOW_DAYS = 240
 HIGH_TOLERANCE = 1e-9
 
 
-def growth_rate(current: Column, prior: Column) -> Column:
+def growth_rate(current: Column, prior: Column, flags: Column | None = None) -> Column:
     now, base = usable(current), usable(prior)
     return (
         F.when(now.isNull() | base.isNull(), missing("MISSING_VALUE"))
         .when(base == 0, absent(ZERO_DENOMINATOR, "ZERO_BASE"))
         .when((base < 0) & (now <= 0), absent(NOT_MEANINGFUL, "NEGATIVE_BASE"))
         .when((base < 0) | (now < 0), absent(NOT_MEANINGFUL, "SIGN_CHANGE"))
-        .otherwise(ok(F.try_divide(now, base) - 1))
+        .otherwise(ok(F.try_divide(now, base) - 1, flags))
     )
 
 
@@ -60,16 +60,16 @@ def gross_profit_from_components(revenue: Column, cost_of_revenue: Column) -> Co
 
 
 def level_change(now: Column, prior: Column) -> Column:
-    """Difference of two metric cells (margin change, leverage change)."""
+    """Difference of two metric cell columns (margin change, leverage change)."""
     return F.coalesce(blocked_by(now, prior), ok(now["value"] - prior["value"]))
 
 
-def free_cash_flow(operating_cash_flow: Column, capex: Column) -> Column:
+def free_cash_flow(operating_cash_flow: Column, capex: Column, flags: Column | None = None) -> Column:
     cfo, spent = usable(operating_cash_flow), usable(capex)
     return (
         F.when(cfo.isNull(), missing("OPERATING_CASH_FLOW_MISSING"))
         .when(spent.isNull(), missing("CAPEX_NOT_REPORTED"))
-        .otherwise(ok(cfo - F.abs(spent)))
+        .otherwise(ok(cfo - F.abs(spent), flags))
     )
 
 
@@ -145,14 +145,14 @@ def price_to_sales(market_cap: Column, revenue: Column) -> Column:
     )
 
 
-def price_to_earnings(price: Column, eps: Column) -> Column:
+def price_to_earnings(price: Column, eps: Column, flags: Column | None = None) -> Column:
     px, earned = usable(price), usable(eps)
     return (
-        F.when(px.isNull() | (px <= 0), missing("PRICE_MISSING"))
-        .when(earned.isNull(), missing("EPS_MISSING"))
-        .when(earned == 0, absent(ZERO_DENOMINATOR, "ZERO_EPS"))
-        .when(earned < 0, absent(NOT_MEANINGFUL, "NEGATIVE_EARNINGS"))
-        .otherwise(ok(F.try_divide(px, earned)))
+        F.when(px.isNull() | (px <= 0), missing("PRICE_MISSING", flags))
+        .when(earned.isNull(), missing("EPS_MISSING", flags))
+        .when(earned == 0, absent(ZERO_DENOMINATOR, "ZERO_EPS", flags))
+        .when(earned < 0, absent(NOT_MEANINGFUL, "NEGATIVE_EARNINGS", flags))
+        .otherwise(ok(F.try_divide(px, earned), flags))
     )
 
 
@@ -191,13 +191,13 @@ def window_extreme(extreme: Column, days: Column) -> Column:
     )
 
 
-def issuer_market_cap(primary_cap: Column, listings: Column) -> Column:
+def issuer_market_cap(primary_cap: Column, listings: Column, *more_flags: Column) -> Column:
     """The designated primary listing's cap. Listings are never summed."""
     cap = usable(primary_cap)
     return (
         F.when(listings < 1, missing("NO_LISTINGS"))
         .when(cap.isNull() | (cap <= 0), missing("PRIMARY_LISTING_MARKET_CAP_MISSING"))
-        .otherwise(ok(cap, flag_array(F.when(listings > 1, "MULTI_CLASS_ALL_SHARES_AT_PRIMARY_PRICE"))))
+        .otherwise(ok(cap, flag_array(F.when(listings > 1, "MULTI_CLASS_ALL_SHARES_AT_PRIMARY_PRICE"), *more_flags)))
     )
 
 
@@ -211,7 +211,7 @@ def consistent_report_period(rows: Column, undated: Column, first: Column, last:
 
 
 def benchmark_relative(own: Column, benchmark: Column) -> Column:
-    """Own return minus the benchmark's, same date and horizon; a side without a value passes its reason on."""
+    """Own return minus the benchmark's (both columns), same date and horizon; a side without a value passes its reason on."""
     blocked = F.when(own["state"] != "OK", absent(own["state"], own["reason"])).when(
         benchmark["state"] != "OK", absent(benchmark["state"], benchmark["reason"])
     )

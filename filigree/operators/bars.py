@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cell import OK, absent, missing, usable, with_flags
+from ..cell import OK, absent, flag_array, missing, usable
 from ..functions import dates as D
 from ..functions import metrics as M
 from ..reference_data import RETURN_HORIZONS
@@ -175,10 +175,10 @@ def price_to_earnings(last_close: Column, eps: Column, multi_class: Column) -> C
     """P/E at the listing's last close; an EPS without a value passes its state on."""
     has_price = usable(last_close) > 0
     reason = F.concat(F.lit("EPS_TTM:"), F.coalesce(eps["reason"], F.lit("None")))
-    pe = F.when(
-        (eps["state"] != OK) & (has_price | (last_close < 0)), absent(eps["state"], reason)
-    ).otherwise(M.price_to_earnings(last_close, F.when(eps["state"] == OK, eps["value"])))
-    return with_flags(pe, F.when(multi_class, "MULTI_CLASS_PER_SHARE_BASIS_UNVERIFIED"))
+    flags = flag_array(F.when(multi_class, "MULTI_CLASS_PER_SHARE_BASIS_UNVERIFIED"))
+    return F.when(
+        (eps["state"] != OK) & (has_price | (last_close < 0)), absent(eps["state"], reason, flags)
+    ).otherwise(M.price_to_earnings(last_close, F.when(eps["state"] == OK, eps["value"]), flags))
 
 
 def no_bars() -> dict[str, Column]:

@@ -198,10 +198,10 @@ def selected_lines(anchored: DataFrame) -> DataFrame:
     return choose_tag(per_tag(anchored.where(annual | sheet), keys), keys)
 
 
-def pivot_lines(long: DataFrame, lines, keys=("cik",), value: str = "sel") -> DataFrame:
+def pivot_lines(long: DataFrame, lines, keys=("cik",), value: str = "sel", prefix: str = "") -> DataFrame:
     """One row per issuer, one struct column per line."""
     return long.groupBy(*keys).agg(
-        *[F.first(F.when(F.col("line") == line, F.col(value)), ignorenulls=True).alias(line) for line in lines]
+        *[F.expr(f"first(CASE WHEN line = '{line}' THEN {value} END, true) AS {prefix}{line}") for line in lines]
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cell import NOT_COMPARABLE, OK, absent, blocked_by, missing, ok, with_flags
+from ..cell import DEPENDS, NOT_COMPARABLE, absent, flag_array, missing, ok, usable
 from ..functions import dates as D
 from ..functions import metrics as M
 from ..reference_data import DEBT_LINES, FLOW_LINES
@@ -37,24 +37,22 @@ def margins(revenue: Column, top: Column) -> Column:
 
 
 def free_cash_flow(cfo: Column, capex: Column) -> Column:
-    mixed = F.when(
-        _has(cfo) & _has(capex) & (cfo["accession"] != capex["accession"]), "MIXED_FILINGS"
-    )
-    return with_flags(M.free_cash_flow(cfo["value"], capex["value"]), mixed)
+    mixed = flag_array(F.when(cfo["accession"] != capex["accession"], "MIXED_FILINGS"))
+    return M.free_cash_flow(cfo["value"], capex["value"], mixed)
 
 
 def _comparable(pair: Column) -> Column:
-    return D.comparable_year_over_year(
+    """Why the two periods of a pair cannot be compared, or NULL."""
+    return D.comparability_problem(
         pair["now"]["period_start"], pair["now"]["period_end"], pair["prior"]["period_start"],
         pair["prior"]["period_end"],
     )
 
 
-def growth(pair: Column) -> Column:
-    comparable = _comparable(pair)
+def growth(pair: Column, problem: Column) -> Column:
     return (
         F.when(pair.isNull(), missing(NO_PAIR))
-        .when(comparable["state"] != OK, comparable)
+        .when(problem.isNotNull(), absent(NOT_COMPARABLE, problem))
         .otherwise(M.growth_rate(pair["now"]["value"], pair["prior"]["value"]))
     )
 
@@ -65,27 +63,22 @@ def _one_filing(a: Column, b: Column) -> Column:
 
 
 def fcf_growth(cfo: Column, capex: Column) -> Column:
-    now = M.free_cash_flow(cfo["now"]["value"], capex["now"]["value"])
-    prior = M.free_cash_flow(cfo["prior"]["value"], capex["prior"]["value"])
+    now = usable(cfo["now"]["value"] - F.abs(capex["now"]["value"]))
+    prior = usable(cfo["prior"]["value"] - F.abs(capex["prior"]["value"]))
     return (
         F.when(cfo.isNull() | capex.isNull(), missing("CAPEX_OR_CFO_PAIR_MISSING"))
         .when(~_one_filing(cfo, capex), absent(NOT_COMPARABLE, "CFO_AND_CAPEX_FROM_DIFFERENT_FILINGS"))
-        .otherwise(F.coalesce(blocked_by(now, prior), M.growth_rate(now["value"], prior["value"])))
+        .when(now.isNull() | prior.isNull(), missing(DEPENDS))
+        .otherwise(M.growth_rate(now, prior))
     )
 
 
-def margin_change(top: Column, revenue: Column) -> Column:
-    comparable = _comparable(revenue)
+def margin_change(top: Column, revenue: Column, problem: Column, margin_now: Column, margin_prior: Column) -> Column:
     return (
         F.when(top.isNull() | revenue.isNull(), missing(NO_PAIR))
         .when(~_one_filing(top, revenue), absent(NOT_COMPARABLE, "MARGIN_INPUTS_FROM_DIFFERENT_FILINGS"))
-        .when(comparable["state"] != OK, comparable)
-        .otherwise(
-            M.level_change(
-                M.margin(top["now"]["value"], revenue["now"]["value"]),
-                M.margin(top["prior"]["value"], revenue["prior"]["value"]),
-            )
-        )
+        .when(problem.isNotNull(), absent(NOT_COMPARABLE, problem))
+        .otherwise(M.level_change(margin_now, margin_prior))
     )
 
 
@@ -121,7 +114,7 @@ def filing_sheets(lf: DataFrame, pairs: DataFrame) -> DataFrame:
     columns = [(year, line) for year in ("now", "prior") for line in wanted]
     picked = long.groupBy("cik").agg(
         *[
-            F.first(F.when((F.col("year") == y) & (F.col("line") == ln), F.col("sel")), ignorenulls=True).alias(f"{y}_{ln}")
+            F.expr(f"first(CASE WHEN year = '{y}' AND line = '{ln}' THEN sel END, true) AS {y}_{ln}")
             for y, ln in columns
         ]
     )
@@ -129,17 +122,19 @@ def filing_sheets(lf: DataFrame, pairs: DataFrame) -> DataFrame:
     return filing.select("cik").join(picked, "cik", "left")
 
 
-def sheet_ratio(sel: dict[str, Column]) -> Column:
-    conflict = F.coalesce(*[sel[line]["problem"] for line in (*DEBT_LINES, "equity")])
-    debt = M.total_debt(*[sel[line]["value"] for line in DEBT_LINES], balance_sheet_present=F.lit(True))
-    return F.when(conflict.isNotNull(), missing(conflict)).otherwise(M.debt_to_equity(debt, sel["equity"]["value"]))
-
-
 def leverage(sheets: DataFrame) -> DataFrame:
+    def debt(year: str) -> Column:
+        lines = [F.col(f"{year}_{line}")["value"] for line in DEBT_LINES]
+        return M.total_debt(*lines, balance_sheet_present=F.lit(True))
+
     def ratio(year: str) -> Column:
-        return sheet_ratio({line: F.col(f"{year}_{line}") for line in (*DEBT_LINES, "equity")})
+        conflict = F.coalesce(*[F.col(f"{year}_{line}")["problem"] for line in (*DEBT_LINES, "equity")])
+        return F.when(conflict.isNotNull(), missing(conflict)).otherwise(
+            M.debt_to_equity(F.col(f"{year}_debt"), F.col(f"{year}_equity")["value"])
+        )
 
-    out = sheets.select("cik", ratio("now").alias("debt_to_equity_fy"), ratio("prior").alias("debt_to_equity_prior_fy"))
+    staged = sheets.withColumns({"now_debt": debt("now"), "prior_debt": debt("prior")})
+    out = staged.select("cik", ratio("now").alias("debt_to_equity_fy"), ratio("prior").alias("debt_to_equity_prior_fy"))
     return out.withColumn(
         "debt_to_equity_change_yoy", M.level_change(F.col("debt_to_equity_fy"), F.col("debt_to_equity_prior_fy"))
     )
@@ -190,14 +185,23 @@ def annual_metrics(row: DataFrame) -> DataFrame:
         return F.when(no_year, missing(NO_YEAR)).otherwise(expr)
 
     pair = {line: F.col(f"pair_{line}") for line in FLOW_LINES}
+    staged = {f"_problem_{line}": _comparable(pair[line]) for line in ("revenue", "diluted_eps")}
+    for name, line in MARGIN_LINES.items():
+        for year in ("now", "prior"):
+            staged[f"_{name}_{year}"] = M.margin(pair[line][year]["value"], pair["revenue"][year]["value"])
+    row = row.withColumns(staged)
     out = {name: cell(margins(F.col("revenue"), F.col(line))) for name, line in MARGIN_LINES.items()}
-    out["revenue_growth_yoy"] = cell(growth(pair["revenue"]))
-    out["eps_growth_yoy"] = cell(growth(pair["diluted_eps"]))
+    out["revenue_growth_yoy"] = cell(growth(pair["revenue"], F.col("_problem_revenue")))
+    out["eps_growth_yoy"] = cell(growth(pair["diluted_eps"], F.col("_problem_diluted_eps")))
     out["fcf"] = cell(free_cash_flow(F.col("operating_cash_flow"), F.col("capex")))
     out["fcf_growth_yoy"] = cell(fcf_growth(pair["operating_cash_flow"], pair["capex"]))
     for name, line in MARGIN_LINES.items():
-        out[f"{name}_change_yoy"] = cell(margin_change(pair[line], pair["revenue"]))
-    return row.withColumns(out)
+        out[f"{name}_change_yoy"] = cell(
+            margin_change(
+                pair[line], pair["revenue"], F.col("_problem_revenue"), F.col(f"_{name}_now"), F.col(f"_{name}_prior")
+            )
+        )
+    return row.withColumns(out).drop(*staged)
 
 
 LEVERAGE_METRICS = ("debt_to_equity_fy", "debt_to_equity_prior_fy", "debt_to_equity_change_yoy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cell import OK, missing, with_flags
+from ..cell import OK, flag_array, missing
 from ..functions import metrics as M
 
 # Fixed value: a quote older than this many days flags the market cap.
@@ -74,9 +74,8 @@ def issuer_quotes(securities: DataFrame, primaries: DataFrame, quotes: DataFrame
 def market_cap(cap: Column, listings: Column, quote_date: Column, as_of) -> Column:
     """Issuer market cap with a flag when its quote is old."""
     age = F.datediff(F.lit(as_of).cast("date"), quote_date)
-    c = M.issuer_market_cap(cap, listings)
-    stale = F.when((c["state"] == OK) & (age > QUOTE_STALE_DAYS), F.format_string("QUOTE_STALE:%dD", age))
-    return with_flags(c, stale)
+    stale = F.when(age > QUOTE_STALE_DAYS, F.concat(F.lit("QUOTE_STALE:"), age.cast("string"), F.lit("D")))
+    return M.issuer_market_cap(cap, listings, stale)
 
 
 def ok_value(c: Column) -> Column:
@@ -87,11 +86,15 @@ def valuation_metrics(row: DataFrame, unavailable: Column) -> DataFrame:
     """Both price-to-sales ratios. ``unavailable`` names why an issuer has no fundamentals (NULL: it has)."""
     cap = F.col("issuer_market_cap")
     gone = unavailable.isNotNull()
-    by_year = F.when(gone, missing(unavailable)).otherwise(M.price_to_sales(ok_value(cap), F.col("revenue")["value"]))
-    cap_flag = F.when(cap["state"] != OK, F.concat(F.lit("MARKET_CAP:"), cap["reason"]))
+    cap_flag = flag_array(F.when(cap["state"] != OK, F.concat(F.lit("MARKET_CAP:"), cap["reason"])))
+    by_year = (
+        F.when(gone, missing(unavailable, cap_flag))
+        .when(cap["state"] != OK, missing("MARKET_CAP_MISSING", cap_flag))
+        .otherwise(M.price_to_sales(cap["value"], F.col("revenue")["value"]))
+    )
     return row.withColumns(
         {
-            "price_to_sales": with_flags(by_year, cap_flag),
+            "price_to_sales": by_year,
             "price_to_sales_ttm": F.when(gone, missing(unavailable)).otherwise(
                 M.price_to_sales(ok_value(cap), ok_value(F.col("revenue_ttm")))
             ),

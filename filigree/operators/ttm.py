@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cell import MISSING_INPUT, NOT_COMPARABLE, OK, absent, cell, flag_array, missing, ok, with_flags
+from ..cell import MISSING_INPUT, NOT_COMPARABLE, OK, absent, cell, flag_array, missing, ok
 from ..functions import dates as D
 from ..functions.metrics import growth_rate
 
@@ -151,13 +151,19 @@ def prior_year_ttm(chosen: DataFrame, by_tag_pairs: DataFrame) -> DataFrame:
     return rows.withColumn("ttm_prior", before)
 
 
+def _flagged_growth(now: Column, before: Column) -> Column:
+    """Growth whose flag stays on the cell whether or not it has a value."""
+    c = growth_rate(now, before)
+    return cell(c["state"], c["value"], c["reason"], flag_array("TTM_COMPONENTS_FROM_SEVERAL_FILINGS"))
+
+
 def ttm_growth(current: Column, prior: Column) -> Column:
     restated = F.exists(F.concat(current["flags"], prior["flags"]), lambda f: f.startswith("RESTATED"))
     return (
         F.when(current["state"] != OK, absent(current["state"], current["reason"]))
         .when(prior["state"] != OK, absent(prior["state"], prior["reason"]))
         .when(restated, absent(NOT_COMPARABLE, "RESTATED_COMPONENT"))
-        .otherwise(with_flags(growth_rate(current["value"], prior["value"]), "TTM_COMPONENTS_FROM_SEVERAL_FILINGS"))
+        .otherwise(_flagged_growth(current["value"], prior["value"]))
     )
 
 

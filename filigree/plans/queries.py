@@ -317,9 +317,7 @@ def _annual(i: Inputs, *lines: str) -> DataFrame:
     anchors = p.groupBy("cik").agg(F.first("fy_end").alias("fy_end"), F.first("sheet_end").alias("sheet_end"))
     picked = X.pivot_lines(X.selected_lines(p), (*FLOW_LINES, *SHEET_LINES))
     pairs = X.annual_pairs(X.tag_pairs(lf, X.pair_anchors(p)))
-    row = pairs.groupBy("cik").agg(
-        *[F.first(F.when(F.col("line") == ln, F.col("pair")), ignorenulls=True).alias(f"pair_{ln}") for ln in FLOW_LINES]
-    )
+    row = X.pivot_lines(pairs, FLOW_LINES, value="pair", prefix="pair_")
     return anchors.join(picked, "cik", "left").join(row, "cik", "left")
 
 

@@ -53,9 +53,7 @@ def issuer_fundamentals(facts: DataFrame, issuers: DataFrame, as_of, *, reuse: b
     lines = X.pivot_lines(X.selected_lines(periods), (*FLOW_LINES, *SHEET_LINES))
     by_tag = X.tag_pairs(lf, X.pair_anchors(periods))
     pairs = X.annual_pairs(by_tag)
-    pair_row = pairs.groupBy("cik").agg(
-        *[F.first(F.when(F.col("line") == ln, F.col("pair")), ignorenulls=True).alias(f"pair_{ln}") for ln in FLOW_LINES]
-    )
+    pair_row = X.pivot_lines(pairs, FLOW_LINES, value="pair", prefix="pair_")
     labels = X.fiscal_year_labels(periods.where(F.col("line") == "revenue")).select(
         "cik", F.col("period_end").alias("fy_end"), "fiscal_year"
     )

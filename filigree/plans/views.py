@@ -17,6 +17,40 @@ MEASURES = ("rev", "gross", "opinc", "ni", "cfo", "capex", "ltd", "cpltd", "cash
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
+# The derived facts: concept, value, unit, taxonomy, kind, accession suffix.
+_FACTS = (
+    ("Revenues", "revenue"),
+    ("RevenueFromContractWithCustomerExcludingAssessedTax", "CASE WHEN seg = 1 THEN revenue WHEN seg = 2 AND annual THEN revenue * 1.05D END"),
+    ("GrossProfit", "gross / 100.0D"),
+    ("OperatingIncomeLoss", "opinc / 100.0D"),
+    ("NetIncomeLoss", "ni / 100.0D"),
+    ("WeightedAverageNumberOfDilutedSharesOutstanding", "shares", "shares"),
+    ("EarningsPerShareDiluted", "ni / 100.0D / shares", "USD/shares"),
+    ("NetCashProvidedByUsedInOperatingActivities", "cfo / 100.0D"),
+    ("PaymentsToAcquirePropertyPlantAndEquipment", "capex / 100.0D"),
+    ("CashAndCashEquivalentsAtCarryingValue", "cash / 100.0D", "USD", "us-gaap", "instant"),
+    ("Cash", "IF(seg = 2, cash / 100.0D * 1.2D, NULL)", "USD", "us-gaap", "instant"),
+    ("ShortTermInvestments", "IF(seg IN (1, 2, 3), gross / 100.0D, NULL)", "USD", "us-gaap", "instant"),
+    ("ShortTermBorrowings", "IF(seg IN (1, 3), opinc / 100.0D, NULL)", "USD", "us-gaap", "instant"),
+    ("CommercialPaper", "CASE seg WHEN 1 THEN opinc / 100.0D WHEN 4 THEN capex / 100.0D END", "USD", "us-gaap", "instant"),
+    ("LongTermDebtCurrent", "cpltd / 100.0D", "USD", "us-gaap", "instant"),
+    ("LongTermDebtNoncurrent", "ltd / 100.0D", "USD", "us-gaap", "instant"),
+    ("StockholdersEquity", "(rev - coalesce(ltd, 0) * 3) / 100.0D", "USD", "us-gaap", "instant"),
+    ("EntityCommonStockSharesOutstanding", "IF(annual AND own, 1000.0D, NULL)", "shares", "dei", "cover"),
+    ("EntityCommonStockSharesOutstanding", "IF(annual AND own AND seg = 0, 2000.0D, NULL)", "shares", "dei", "cover", "-A"),
+)
+
+
+def _fact_struct(concept, value, unit="USD", taxonomy="us-gaap", kind="duration", suffix="") -> str:
+    start = "make_date(y, 1, 1)" if kind == "duration" else "CAST(NULL AS date)"
+    stop = "make_date(fy + 1, 1, 31)" if kind == "cover" else "period_end"
+    value = f"IF(k IN (2, 4), {value}, NULL)" if kind == "instant" else value
+    return (
+        f"struct('{taxonomy}' AS taxonomy, '{concept}' AS concept, '{unit}' AS unit, CAST({value} AS double) AS value, "
+        f"{start} AS period_start, {stop} AS stop, '{suffix}' AS suffix)"
+    )
+
+
 class Inputs:
     """The given tables of one scale factor and the stored tables derived from them."""
 
@@ -30,115 +64,56 @@ class Inputs:
 
     def _period_sums(self) -> DataFrame:
         """Cumulative sums in cents per customer, year and quarter-to-date."""
-        o = self.table("orders")
-        cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-        prio, status = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
-        rows = o.select(
-            F.col("o_custkey").alias("custkey"),
-            F.year("o_orderdate").alias("y"),
-            F.explode(F.sequence(F.quarter("o_orderdate"), F.lit(4))).alias("k"),
-            cents.alias("rev"),
-            F.when(prio.isin("1", "2"), cents).otherwise(F.lit(0)).alias("gross"),
-            F.when(prio == "1", cents).otherwise(F.lit(0)).alias("opinc"),
-            F.when(status == "F", cents).when(status == "O", -cents).otherwise(F.lit(0)).alias("ni"),
-            F.when(status.isin("F", "P"), cents).otherwise(F.lit(0)).alias("cfo"),
-            F.when(prio == "5", cents).alias("capex"),
-            F.when(prio == "3", cents).alias("ltd"),
-            F.when(prio == "4", cents).alias("cpltd"),
-            F.when(status == "P", cents).alias("cash"),
-        )
+        rows = self.table("orders").selectExpr(
+            "o_custkey AS custkey", "year(o_orderdate) AS y", "quarter(o_orderdate) AS q", "o_orderstatus AS status",
+            "CAST(round(o_totalprice * 100) AS bigint) AS rev", "substring(o_orderpriority, 1, 1) AS prio",
+        ).selectExpr(
+            "custkey", "y", "explode(sequence(q, 4)) AS k", "rev", "IF(prio IN ('1', '2'), rev, 0) AS gross",
+            "IF(prio = '1', rev, 0) AS opinc", "CASE status WHEN 'F' THEN rev WHEN 'O' THEN -rev ELSE 0 END AS ni",
+            "IF(status IN ('F', 'P'), rev, 0) AS cfo", "IF(prio = '5', rev, NULL) AS capex",
+            "IF(prio = '3', rev, NULL) AS ltd", "IF(prio = '4', rev, NULL) AS cpltd", "IF(status = 'P', rev, NULL) AS cash",
+        )
         return rows.groupBy("custkey", "y", "k").agg(*[F.sum(m).alias(m) for m in MEASURES])
 
     def period_values(self) -> DataFrame:
         sums = self._period_sums()
         c = self.table("customer")
-        n = self.table("nation").select("n_nationkey", F.col("n_regionkey").alias("seg"))
-        segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment")) - 1
-        by_customer = sums.where(F.col("k").isin(2, 4)).join(
-            c.select(F.col("c_custkey").alias("custkey"), segment.cast("int").alias("seg")), "custkey"
+        segments = ", ".join(f"'{s}'" for s in SEGMENTS)
+        by_customer = sums.where("k IN (2, 4)").join(
+            c.selectExpr("c_custkey AS custkey", f"CAST(array_position(array({segments}), c_mktsegment) - 1 AS int) AS seg"),
+            "custkey",
         )
-        by_customer = by_customer.select(
-            F.lpad((F.col("custkey") + 1000000).cast("string"), 10, "0").alias("cik"), "seg", "y", "k", *MEASURES
+        by_customer = by_customer.selectExpr(
+            "lpad(CAST(custkey + 1000000 AS string), 10, '0') AS cik", "seg", "y", "k", *MEASURES
         )
         by_nation = (
-            sums.join(c.select(F.col("c_custkey").alias("custkey"), "c_nationkey"), "custkey")
+            sums.join(c.selectExpr("c_custkey AS custkey", "c_nationkey"), "custkey")
             .groupBy("c_nationkey", "y", "k")
             .agg(*[F.sum(m).alias(m) for m in MEASURES])
-            .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.lpad((F.col("n_nationkey") + 1).cast("string"), 10, "0").alias("cik"), "seg", "y", "k", *MEASURES
-            )
+            .join(self.table("nation").selectExpr("n_nationkey AS c_nationkey", "n_regionkey AS seg"), "c_nationkey")
+            .selectExpr("lpad(CAST(c_nationkey + 1 AS string), 10, '0') AS cik", "seg", "y", "k", *MEASURES)
         )
         return by_customer.unionByName(by_nation)
 
     def facts(self) -> DataFrame:
+        """Own and comparative figures of every filing: a year's values appear in two filings."""
         pv = self.period_values().withColumn("fy", F.explode(F.array(F.col("y"), F.col("y") + 1)))
-        last_year = F.when(F.col("k") <= 2, 2001).otherwise(2000)
-        pv = pv.where(F.col("fy").between(F.lit(1996), last_year))
-        k, fy, y, seg = F.col("k"), F.col("fy"), F.col("y"), F.col("seg")
-        first = F.lit(1)
-
-        def quarter_end(year: Column) -> Column:
-            return F.last_day(F.make_date(year, k * 3, first))
-
-        def amount(measure: str) -> Column:
-            return F.col(measure) / F.lit(100.0)
-
-        annual, own = k == 4, fy == y
-        shares = F.when((seg == 4) & (fy >= 2001), F.lit(10000.0)).otherwise(F.lit(1000.0))
-        restated = annual & ~own & (seg == 3)
-        revenue = F.when(restated, F.round(F.col("rev") * 0.97).cast("bigint") / F.lit(100.0)).otherwise(amount("rev"))
-        contract = F.when(seg == 1, revenue).when((seg == 2) & annual, revenue * 1.05)
-        start, end = F.make_date(y, first, first), quarter_end(y)
-        no_start = F.lit(None).cast("date")
-        sheet = k.isin(2, 4)
-
-        def fact(concept, value, unit="USD", taxonomy="us-gaap", begin=start, stop=end, suffix=""):
-            return F.struct(
-                F.lit(taxonomy).alias("taxonomy"), F.lit(concept).alias("concept"), F.lit(unit).alias("unit"),
-                value.cast("double").alias("value"), begin.alias("period_start"), stop.alias("period_end"),
-                F.lit(suffix).alias("suffix"),
-            )
-
-        def instant(concept, value):
-            return fact(concept, F.when(sheet, value), begin=no_start)
-
-        def cover(value, suffix=""):
-            return fact("EntityCommonStockSharesOutstanding", value, "shares", "dei", no_start,
-                        F.make_date(fy + 1, first, F.lit(31)), suffix)
-
-        rows = [
-            fact("Revenues", revenue),
-            fact("RevenueFromContractWithCustomerExcludingAssessedTax", contract),
-            fact("GrossProfit", amount("gross")),
-            fact("OperatingIncomeLoss", amount("opinc")),
-            fact("NetIncomeLoss", amount("ni")),
-            fact("WeightedAverageNumberOfDilutedSharesOutstanding", shares, "shares"),
-            fact("EarningsPerShareDiluted", amount("ni") / shares, "USD/shares"),
-            fact("NetCashProvidedByUsedInOperatingActivities", amount("cfo")),
-            fact("PaymentsToAcquirePropertyPlantAndEquipment", amount("capex")),
-            instant("CashAndCashEquivalentsAtCarryingValue", amount("cash")),
-            instant("Cash", F.when(seg == 2, amount("cash") * 1.2)),
-            instant("ShortTermInvestments", F.when(seg.isin(1, 2, 3), amount("gross"))),
-            instant("ShortTermBorrowings", F.when(seg.isin(1, 3), amount("opinc"))),
-            instant("CommercialPaper", F.when(seg == 1, amount("opinc")).when(seg == 4, amount("capex"))),
-            instant("LongTermDebtCurrent", amount("cpltd")),
-            instant("LongTermDebtNoncurrent", amount("ltd")),
-            instant("StockholdersEquity", (F.col("rev") - F.coalesce("ltd", F.lit(0)) * 3) / F.lit(100.0)),
-            cover(F.when(annual & own, F.lit(1000.0))),
-            cover(F.when(annual & own & (seg == 0), F.lit(2000.0)), "-A"),
-        ]
-        accession = F.concat(F.col("cik"), F.lit("-"), F.lpad((fy % 100).cast("string"), 2, "0"), F.lit("-00000"), k.cast("string"))
-        filed = F.when(annual, F.make_date(fy + 1, F.lit(2), F.lit(15))).otherwise(F.date_add(quarter_end(fy), 40))
-        out = pv.select(
-            "cik", "fy", "k", accession.alias("accession"), filed.alias("filed_date"),
-            F.when(annual, "10-K").otherwise("10-Q").alias("form"), F.inline(F.array(*rows)),
-        ).where(F.col("value").isNotNull())
-        return out.select(
-            "cik", "taxonomy", "concept", "unit", "value", "period_start", "period_end",
-            F.col("fy").cast("int").alias("fiscal_year"),
-            F.when(k == 4, "FY").otherwise(F.concat(F.lit("Q"), k.cast("string"))).alias("fiscal_period"),
-            "form", "filed_date", F.concat("accession", "suffix").alias("accession_no"),
+        pv = pv.where("fy BETWEEN 1996 AND IF(k <= 2, 2001, 2000)").selectExpr(
+            "*",
+            "k = 4 AS annual",
+            "fy = y AS own",
+            "IF(seg = 4 AND fy >= 2001, 10000.0D, 1000.0D) AS shares",
+            "CASE WHEN k = 4 AND fy <> y AND seg = 3 THEN CAST(round(rev * 0.97D) AS bigint) / 100.0D ELSE rev / 100.0D END AS revenue",
+            "last_day(make_date(y, k * 3, 1)) AS period_end",
+            "IF(k = 4, make_date(fy + 1, 2, 15), date_add(last_day(make_date(fy, k * 3, 1)), 40)) AS filed_date",
+            "concat(cik, '-', lpad(CAST(fy % 100 AS string), 2, '0'), '-00000', CAST(k AS string)) AS accession",
+        )
+        rows = ", ".join(_fact_struct(*f) for f in _FACTS)
+        out = pv.selectExpr("cik", "fy", "k", "annual", "accession", "filed_date", f"inline(array({rows}))").where("value IS NOT NULL")
+        return out.selectExpr(
+            "cik", "taxonomy", "concept", "unit", "value", "period_start", "stop AS period_end", "CAST(fy AS int) AS fiscal_year",
+            "IF(k = 4, 'FY', concat('Q', CAST(k AS string))) AS fiscal_period", "IF(annual, '10-K', '10-Q') AS form",
+            "filed_date", "concat(accession, suffix) AS accession_no",
         )
 
     # --- bars ----------------------------------------------------------------------------------------------------
