@@ -26,6 +26,7 @@ from ..reference_data import (
     SECTIONS,
     WEB_ONLY_SECTIONS,
 )
+from ..sources.documents import resolve
 
 
 def constant_map(d: dict[str, str]) -> Column:
@@ -98,6 +99,12 @@ def filing_items(filings: DataFrame, companies: DataFrame, since=None) -> DataFr
     )
 
 
+def events_report(symbols: DataFrame, ticker_map: DataFrame, filings: DataFrame, since) -> DataFrame:
+    """Filing items of every symbol that resolves to exactly one issuer."""
+    resolved = resolve(symbols, ticker_map).where(F.col("cik").isNotNull())
+    return filing_items(filings, resolved, since)
+
+
 def filing_window(filings: DataFrame, since) -> DataFrame:
     """Per issuer what its filing list covered, and how many filings since then had an unclassified form."""
     skipped = (F.col("filing_date") >= F.lit(since).cast("date")) & (F.size(placements(F.col("form"), F.col("items"))) == 0)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import KEYS
 from .keyed import last_per_key
 
 PROVENANCE = ("source_id",)
@@ -72,6 +73,20 @@ def upsert_counts(classified: DataFrame, batch_rows: DataFrame) -> DataFrame:
     )
 
 
+def counter_totals(per_table: list[DataFrame]) -> DataFrame:
+    """Sums of upsert counters over several tables."""
+    names = (INSERTED, UPDATED, UNCHANGED, "duplicates")
+    return reduce(DataFrame.unionByName, per_table).agg(*[F.sum(n).alias(n) for n in names])
+
+
+def upsert_table(stored: DataFrame, batch: DataFrame, table: str, arrival: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(classified keys, new table) of a stored table by its own business key."""
+    keys = KEYS[table]
+    columns = [c for c in stored.columns if c in batch.columns]
+    classified = classify(stored.select(*columns), latest_in_batch(batch, keys, arrival, columns), keys, columns)
+    return classified, merged(classified, columns)
+
+
 # --- table versions ------------------------------------------------------------------------------------------------
 
 

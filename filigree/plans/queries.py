@@ -1508,6 +1508,55 @@ def quote_rows(i: Inputs) -> DataFrame:
     return DOC.quote_rows(raw).select("security_id", day("quote_date"), "last_price", "market_cap", "sector", "problem")
 
 
+@query("content_hashes", "SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, source AS provider FROM documents")
+def content_hashes(i: Inputs) -> DataFrame:
+    """Landed payloads as source rows: the whole texts are hashed."""
+    d = i.table("documents")
+    landed = d.select(
+        "doc_id", F.col("source").alias("provider"), F.lit("document").alias("dataset"), F.lit("{}").alias("parameters"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("retrieved_at"), F.col("text").alias("payload"),
+    )
+    return PV.retrieval_rows(landed).select("doc_id", "content_hash", "provider")
+
+
+@query("identifiers", """
+  SELECT c_custkey, lpad(CAST(c_custkey + 1 AS VARCHAR), 10, '0') AS cik, c_nationkey > 0 AS is_cik, 'ABC-' || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) AS symbol,
+    'ABC.' || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) AS nasdaq_symbol, lower(c_mktsegment) || ' x ' || lower(c_name) AS holder, c_mktsegment || ',B-C' AS symbols,
+    CASE WHEN c_nationkey = 0 THEN NULL ELSE c_nationkey * 1.5 END AS amount FROM customer""")
+def identifiers(i: Inputs) -> DataFrame:
+    c = i.table("customer")
+    letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("c_nationkey") + 1, F.lit(1))
+    key = (F.col("c_custkey") + 1).cast("string")
+    zero = F.col("c_nationkey") == 0
+    return c.select(
+        "c_custkey",
+        T.normalize_cik(F.concat(F.lit(" cik# 000"), key)).alias("cik"),
+        T.looks_like_cik(F.when(zero, F.lit("12-3")).otherwise(F.lit("CIK 77"))).alias("is_cik"),
+        T.canonical_symbol(F.concat(F.lit(" abc/"), F.lower(letter), F.lit(" "))).alias("symbol"),
+        T.provider_symbol(F.concat(F.lit("ABC-"), letter), "nasdaq").alias("nasdaq_symbol"),
+        T.holder_key(F.lit(None), F.concat(F.lit(" "), "c_mktsegment", F.lit(" |  X | "), "c_name")).alias("holder"),
+        F.array_join(T.symbol_list(F.concat("c_mktsegment", F.lit(" ; b/c,, B.C; "), F.lower("c_mktsegment"))), ",").alias("symbols"),
+        T.number(F.when(zero, "NaN").otherwise((F.col("c_nationkey") * 1.5).cast("string"))).alias("amount"),
+    )
+
+
+@query("requested_listings", O.compose("""
+  SELECT security_id, ticker, cik FROM v_securities WHERE cik IN (
+    SELECT cik FROM v_securities JOIN supplier ON ticker = 'S' || s_suppkey WHERE s_acctbal > 5000 AND cik IS NOT NULL)""", "v_securities"))
+def requested_listings(i: Inputs) -> DataFrame:
+    wanted = i.table("supplier").where("s_acctbal > 5000").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"))
+    return TB.listings_of_requested(i.securities(), wanted).select("security_id", "ticker", "cik")
+
+
+@query("events_report", _placed(f"""
+  SELECT ticker, section, count(*) AS items, CAST(max(filing_date) AS VARCHAR) AS newest FROM placed WHERE filing_date >= DATE '{SINCE}' GROUP BY ALL"""))
+def events_report(i: Inputs) -> DataFrame:
+    """Symbols resolved by a ticker map, then their filing events."""
+    known = i.issuers().withColumn("exchange", F.lit(None).cast("string"))
+    items = EV.events_report(i.issuers().select("ticker"), known, i.filings(), SINCE)
+    return items.groupBy("ticker", "section").agg(F.count("*").alias("items"), F.max("filed").cast("string").alias("newest"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
@@ -1524,6 +1573,16 @@ def stream_upsert(i: Inputs) -> DataFrame:
     return U.read_version(i.spark, path, kept).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
+@query("stream_landing", O.compose(f"""
+  SELECT cik, concept, doc_unit AS unit, value, CAST(period_end AS VARCHAR) AS period_end, accession_no FROM {_DOC_FACTS} WHERE doc_unit <> 'EUR' AND doc_form <> '8-K'""", "v_facts"))
+def stream_landing(i: Inputs) -> DataFrame:
+    """Company-facts documents through the landing zone and a stream into fact rows."""
+    zone, out, state = (ST.stream_folder(i.spark, n) for n in ("landing", "facts", "facts-state"))
+    DOC.write_landing(fact_documents(i), zone)
+    J.land_facts(J.landed_documents(i.spark, zone, None), out, state).awaitTermination()
+    return i.spark.read.parquet(out).select("cik", "concept", "unit", "value", day("period_end"), "accession_no")
+
+
 @query("stream_tick_bars", """
   SELECT user_id AS security_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS trade_date, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
     first(value ORDER BY ts DESC, event_id DESC) AS close, count(*) AS volume FROM events GROUP BY user_id, CAST(ts AS DATE)""")

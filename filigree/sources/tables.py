@@ -133,6 +133,12 @@ def recent(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.orderBy(F.col(order).desc()).limit(n)
 
 
+def listings_of_requested(securities: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Every stored listing of each issuer that has a requested ticker, the unrequested ones included."""
+    issuers = securities.join(symbols.select("ticker"), "ticker", "left_semi").where(F.col("cik").isNotNull()).select("cik")
+    return securities.join(issuers.distinct(), "cik", "left_semi")
+
+
 def requested_universe(securities: DataFrame, symbols: DataFrame) -> DataFrame:
     """Requested symbols against stored listings: STORED, STORED_WITHOUT_CIK or NOT_STORED."""
     stored = securities.groupBy("ticker").agg(F.max(F.col("cik").isNotNull()).alias("has_cik"))
@@ -140,6 +146,10 @@ def requested_universe(securities: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.select("ticker").distinct().join(stored, "ticker", "left").select("ticker", status.alias("status"))
 
 
+def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
+    df.write.mode("overwrite").format(fmt).save(path)
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name, df in tables.items()]
     out = parts[0]

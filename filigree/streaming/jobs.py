@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import normalize_cik
 from ..operators.upsert import classify, latest_in_batch, merged, read_version, write_version
 from ..sources.documents import fact_points, parse_companyfacts, stored_facts
 
@@ -17,12 +18,18 @@ def read_stream(spark: SparkSession, folder: str, schema: str, *, fmt: str = "pa
     return reader.load(folder)
 
 
-def landed_documents(spark: SparkSession, folder: str, cik_pattern: str = r"CIK(\d{10})") -> DataFrame:
-    """Newly landed files as (cik, payload); the issuer is named by the file."""
-    raw = spark.readStream.format("text").option("wholetext", True).load(folder)
-    return raw.select(
-        F.regexp_extract(F.input_file_name(), cik_pattern, 1).alias("cik"), F.col("value").alias("payload")
-    )
+def landed_documents(spark: SparkSession, folder: str, cik_pattern: str | None = r"CIK(\d{10})") -> DataFrame:
+    """Newly landed documents as (cik, payload).
+
+    One document per file with the issuer in the file name; with ``cik_pattern`` None one
+    document per line that names its own issuer.
+    """
+    raw = spark.readStream.format("text").option("wholetext", cik_pattern is not None).load(folder)
+    if cik_pattern is None:
+        cik = normalize_cik(F.get_json_object("value", "$.cik"))
+    else:
+        cik = F.regexp_extract(F.input_file_name(), cik_pattern, 1)
+    return raw.select(cik.alias("cik"), F.col("value").alias("payload"))
 
 
 def land_facts(documents: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
