@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..reference_data import FLOW_LINES, SHEET_LINES, concept_frame
+from ..reference_data import CONCEPTS, FLOW_LINES, SHEET_LINES, concept_frame
 
 # Fixed value: relative difference above which two tags of one line contradict each other.
 TAG_CONFLICT_TOLERANCE = 0.01
@@ -26,10 +26,11 @@ def line_facts(facts: DataFrame, *, lines=None, as_of=None) -> DataFrame:
 
     ``as_of`` keeps only what had been filed by that date.
     """
-    concepts = concept_frame(facts.sparkSession)
-    if lines is not None:
-        concepts = concepts.where(F.col("line").isin(*lines))
-    rows = facts.where(F.col("accession_no").isNotNull() & F.col("filed_date").isNotNull())
+    wanted = CONCEPTS if lines is None else {line: CONCEPTS[line] for line in lines}
+    concepts = concept_frame(facts.sparkSession, wanted)
+    # the tags are also given as a plain list, which reaches the scan
+    tags = [tag for _, names, _, _ in wanted.values() for tag in names]
+    rows = facts.where(F.col("accession_no").isNotNull() & F.col("filed_date").isNotNull() & F.col("concept").isin(*tags))
     if as_of is not None:
         rows = rows.where(F.col("filed_date") <= F.lit(as_of).cast("date"))
     return rows.join(
@@ -62,8 +63,9 @@ def latest_known(lf: DataFrame, keys=None) -> DataFrame:
 
 def periods(lf: DataFrame) -> DataFrame:
     """One row per distinct period of a tag: its latest vintage and the range of values ever reported."""
-    return (
-        lf.groupBy(*PERIOD_KEY)
+    lines = concept_frame(lf.sparkSession).select("line", "tag", "priority")
+    reduced = (
+        lf.groupBy("cik", "tag", "period_start", "period_end")
         .agg(
             F.max(F.struct("filed", "accession", "value", "form")).alias("latest"),
             F.min("value").alias("low"),
@@ -72,8 +74,14 @@ def periods(lf: DataFrame) -> DataFrame:
                 F.when(F.coalesce(F.col("fiscal_year"), F.lit(0)) != 0, F.struct("filed", "accession", "fiscal_year"))
             ).alias("first_label"),
         )
-        .select(*PERIOD_KEY, "latest.*", "low", "high", "first_label")
+        .select("cik", "tag", "period_start", "period_end", "latest.*", "low", "high", "first_label")
     )
+    # line, priority and kind follow from the key, so they are added after the shuffle
+    kind = D.period_kind(F.col("period_start"), F.col("period_end"))
+    return reduced.join(F.broadcast(lines), "tag").select(
+        "cik", "line", "tag", "priority", kind.alias("kind"), "period_start", "period_end", "filed", "accession", "value",
+        "form", "low", "high", "first_label",
+    )
 
 
 def restated_periods(p: DataFrame) -> DataFrame:

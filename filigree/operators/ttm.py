@@ -57,6 +57,8 @@ def ttm_parts(p: DataFrame, lines=TTM_LINES) -> DataFrame:
     is_fy, is_ytd = F.col("kind") == D.FISCAL_YEAR, F.col("kind").isin(*D.YTD_KINDS)
 
     rows = rows.withColumn("fy_end", F.max(F.when(is_fy, F.col("period_end"))).over(line_w))
+    # nothing older can take part: the earliest period of a prior-year TTM ends two years before the current one
+    rows = rows.where(F.datediff("fy_end", "period_end") <= 2 * D.YEAR_APART_DAYS[1])
     newer = is_ytd & (F.col("period_end") > F.col("fy_end"))
     aligned = newer & D.near(F.col("period_start"), F.date_add("fy_end", 1))
     fy = _annual(tag_w, F.col("fy_end"))

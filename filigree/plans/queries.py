@@ -484,12 +484,12 @@ def issuer_market_cap(i: Inputs) -> DataFrame:
 
 @query("price_to_sales", O.compose(O.long_select("issuer_all", "cik", ("price_to_sales", "price_to_sales_ttm")), "issuer"))
 def price_to_sales(i: Inputs) -> DataFrame:
-    return _cells(S.issuer_metrics(i.tables(), AS_OF, reuse=False), ("price_to_sales", "price_to_sales_ttm"))
+    return _cells(S.issuer_metrics(i.tables(), AS_OF), ("price_to_sales", "price_to_sales_ttm"))
 
 
 @query("price_to_earnings", O.compose(f"SELECT ticker, cik, {O.parts('price_to_earnings')} FROM view_raw", "view"))
 def price_to_earnings(i: Inputs) -> DataFrame:
-    v = S.listing_views(i.tables(), AS_OF, max_age_days=None, reuse=False)
+    v = S.listing_views(i.tables(), AS_OF, max_age_days=None)
     return v.select("ticker", "cik", *unpack(F.col("price_to_earnings")))
 
 
@@ -500,7 +500,7 @@ def price_to_earnings(i: Inputs) -> DataFrame:
       WHEN shares_outstanding.state <> 'OK' THEN 'SHARES_UNRELIABLE:' || shares_outstanding.reason
       WHEN last_close IS NULL THEN 'NO_CLOSE' END AS reason FROM view_raw WHERE security_id = primary_security_id)""", "view"))
 def market_cap_check(i: Inputs) -> DataFrame:
-    v = S.listing_views(i.tables(), AS_OF, max_age_days=None, reuse=False)
+    v = S.listing_views(i.tables(), AS_OF, max_age_days=None)
     return v.where(F.col("cap_check").isNotNull()).select("cik", "cap_check.*")
 
 

@@ -14,7 +14,7 @@ from ..operators import freshness as FR
 from ..operators import fundamentals as FD
 from ..operators import market as MK
 from ..operators import ttm as T
-from ..reference_data import FLOW_LINES, ISSUER_METRICS, LISTING_METRICS, SHEET_LINES
+from ..reference_data import DEBT_LINES, FLOW_LINES, ISSUER_METRICS, LISTING_METRICS, SHEET_LINES
 from ..sources.provenance import fundamentals_coverage
 from ..sources.staging import stage
 from ..sources.tables import Tables
@@ -25,10 +25,8 @@ FUNDAMENTAL_METRICS = tuple(m for m in ISSUER_METRICS if m not in FR.QUOTE_METRI
 def statement_frames(facts: DataFrame, *, lines=None, as_of=None, reuse: bool = False) -> tuple[DataFrame, DataFrame]:
     """(line facts, anchored periods). ``reuse`` stores the reduced period table because several branches read it."""
     lf = X.line_facts(facts, lines=lines, as_of=as_of)
-    p = X.periods(lf)
-    if reuse:
-        p = stage(p)
-    return lf, X.with_anchors(p)
+    anchored = X.with_anchors(X.periods(lf))
+    return lf, stage(anchored) if reuse else anchored
 
 
 def ttm_metrics(periods, by_tag_pairs) -> DataFrame:
@@ -48,10 +46,12 @@ def ttm_metrics(periods, by_tag_pairs) -> DataFrame:
 
 def issuer_fundamentals(facts: DataFrame, issuers: DataFrame, as_of, *, reuse: bool = True) -> DataFrame:
     """One row per issuer with every metric that needs no price, and the line selections behind them."""
-    lf, periods = statement_frames(facts, reuse=reuse)
+    _, periods = statement_frames(facts, reuse=reuse)
     anchors = periods.groupBy("cik").agg(F.first("fy_end").alias("fy_end"), F.first("sheet_end").alias("sheet_end"))
     lines = X.pivot_lines(X.selected_lines(periods), (*FLOW_LINES, *SHEET_LINES))
-    by_tag = X.tag_pairs(lf, X.pair_anchors(periods))
+    by_tag = X.tag_pairs(X.line_facts(facts, lines=FLOW_LINES), X.pair_anchors(periods))
+    if reuse:
+        by_tag = stage(by_tag)  # one row per issuer and tag, read by three branches
     pairs = X.annual_pairs(by_tag)
     pair_row = X.pivot_lines(pairs, FLOW_LINES, value="pair", prefix="pair_")
     labels = X.fiscal_year_labels(periods.where(F.col("line") == "revenue")).select(
@@ -61,9 +61,9 @@ def issuer_fundamentals(facts: DataFrame, issuers: DataFrame, as_of, *, reuse: b
         anchors,
         lines,
         pair_row,
-        FD.leverage(FD.filing_sheets(lf, pairs)),
+        FD.leverage(FD.filing_sheets(X.line_facts(facts, lines=(*DEBT_LINES, "equity")), pairs)),
         ttm_metrics(periods, by_tag),
-        X.share_counts(lf),
+        X.share_counts(X.line_facts(facts, lines=("shares_outstanding",))),
     ]
     row = reduce(lambda a, b: a.join(b, "cik", "left"), parts, issuers)
     row = row.join(labels, ["cik", "fy_end"], "left")
