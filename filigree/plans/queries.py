@@ -238,8 +238,8 @@ def accepted_bars(i: Inputs) -> DataFrame:
 # --- facts ---------------------------------------------------------------------------------------------------------
 
 
-def _periods(i: Inputs, *lines: str) -> tuple[DataFrame, DataFrame]:
-    return S.statement_frames(i.facts(), lines=lines or None)
+def _periods(i: Inputs, *lines: str, reuse: bool = False) -> tuple[DataFrame, DataFrame]:
+    return S.statement_frames(i.facts(), lines=lines or None, reuse=reuse)
 
 
 def _pairs(i: Inputs, *lines: str) -> DataFrame:
@@ -313,7 +313,7 @@ def same_filing_pair(i: Inputs) -> DataFrame:
 
 def _annual(i: Inputs, *lines: str) -> DataFrame:
     """Wide issuer rows with line selections and pairs of the given flow lines."""
-    lf, p = _periods(i, *dict.fromkeys(("revenue", "net_income_to_common", *lines)))
+    lf, p = _periods(i, *dict.fromkeys(("revenue", "net_income_to_common", *lines)), reuse=True)
     anchors = p.groupBy("cik").agg(F.first("fy_end").alias("fy_end"), F.first("sheet_end").alias("sheet_end"))
     picked = X.pivot_lines(X.selected_lines(p), (*FLOW_LINES, *SHEET_LINES))
     pairs = X.annual_pairs(X.tag_pairs(lf, X.pair_anchors(p)))
@@ -381,7 +381,7 @@ def leverage_change(i: Inputs) -> DataFrame:
 
 @query("balance_sheet", O.compose(O.long_select("sheet", "cik", SHEET), "sheet"))
 def balance_sheet(i: Inputs) -> DataFrame:
-    _, p = _periods(i, *SHEET_LINES)
+    _, p = _periods(i, *SHEET_LINES, reuse=True)
     anchors = p.groupBy("cik").agg(F.first("sheet_end").alias("sheet_end"))
     picked = X.pivot_lines(X.selected_lines(p), SHEET_LINES)
     rows = FD.balance_sheet(anchors.join(picked, "cik", "left"))
@@ -412,7 +412,7 @@ def ttm_revenue(i: Inputs) -> DataFrame:
 
 @query("ttm_growth", O.compose(f"SELECT cik, {O.parts('before', 'prior_')}, {O.parts('growth')} FROM ttm_growth", "ttm_rev"))
 def ttm_growth(i: Inputs) -> DataFrame:
-    lf, p = _periods(i, "revenue")
+    lf, p = _periods(i, "revenue", reuse=True)
     by_tag = X.tag_pairs(lf, X.pair_anchors(p))
     chosen = TT.choose_ttm(TT.ttm_outcomes(TT.ttm_parts(p, ("revenue",))))
     rows = TT.prior_year_ttm(chosen, by_tag).withColumn("g", TT.ttm_growth(F.col("ttm"), F.col("ttm_prior")))

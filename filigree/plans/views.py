@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from ..sources.tables import Tables
 
 AS_OF = "2001-08-02"
@@ -270,10 +271,11 @@ class Inputs:
         )
 
     def tables(self) -> Tables:
+        """The stored tables; facts and bars are read by several branches, so they are written first, as a load would."""
+        bars = stage(self.bars())
         return Tables(
-            securities=self.securities(), facts=self.facts(), bars=self.bars(), quotes=self.quotes(),
-            sources=self.sources(),
-        )
+            securities=self.securities(), facts=stage(self.facts()), bars=bars, quotes=self.quotes(bars), sources=self.sources()
+        )
 
 
 # --- the same views in SQL ---------------------------------------------------------------------------------------

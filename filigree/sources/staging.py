@@ -21,11 +21,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """A frame read several times: computed once, kept in the shared folder, and so safe from lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A frame that several branches read: computed once and written to the shared folder.
+
+    A written table survives lost executors, is still read column by column, and has a known
+    size for the join choice.
+    """
+    spark = df.sparkSession
+    path = stream_folder(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one stream's state and output."""
+    """A fresh folder for one staged table, or one stream's state or output."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
