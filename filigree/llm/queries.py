@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import language, pages
+from filigree.llm import answers, contamination, language, mixing, pages, repeats, secrets, suffix_array, suffix_tree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,51 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 200-byte strings that stand anywhere else too."""
+    got = suffix_array.repeated_bytes(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("n_units").alias("n_bytes"), repeats.n_removed("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that stand earlier in the corpus."""
+    got = suffix_tree.repeated_words(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("n_units").alias("n_words"), repeats.n_removed("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its probability under the raked mix, whether it is kept, and its weight."""
+    got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return got.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"), F.round("_weight", 6).alias("weight"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = docs.select("doc_id", contamination.find(docs, table(spark, sf_dir, "benchmark")).alias("h"))
+    h = F.col("h")
+    return got.select(
+        "doc_id", h["n_words"].alias("n_words"), contamination.n_hit(h).alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(h["items"], ",").cast("binary"), 256).alias("items_sha256"), contamination.contaminated(h).alias("contaminated"),
+    )
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, scanned once per distinct text."""
+    got, _ = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("_found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("_found", lambda s: s["kind"].isin([r.kind for r in secrets.BASE]))
+    return got.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("_found")).alias("spans"))
+
+
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     got = table(spark, sf_dir, "pages").select("page_id", "url", pages.page_text(F.col("html")).alias("text"))
     return got.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language_id": op2_language_id, "op10_page_text": op10_page_text}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id, "op3_repeated_bytes": op3_repeated_bytes, "op4_repeated_words": op4_repeated_words, "op6_source_mix": op6_source_mix, "op7_decontamination": op7_decontamination, "op8_secret_scan": op8_secret_scan,
+    "op10_page_text": op10_page_text,
+}
+SQL: dict[str, str] = {"op6_source_mix": answers.source_mix(), "op7_decontamination": answers.DECONTAMINATION, "op8_secret_scan": answers.secret_scan()}
