@@ -70,3 +70,18 @@ def components(links: DataFrame) -> DataFrame:
             break
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (``label[i] <= i`` points to a member of i's set) after linking a[k] with b[k]; whole arrays at a time."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(la[apart], lb[apart]), np.minimum(la[apart], lb[apart]))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up

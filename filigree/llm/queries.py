@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import answers, contamination, language, mixing, pages, repeats, secrets, suffix_array, suffix_tree
+from filigree.llm import answers, attention_lm, contamination, epsilon_grid, jaccard, language, mixing, pages, repeats, secrets, suffix_array, suffix_tree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and class of every document."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fold 1 of 3 is never learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -39,6 +44,14 @@ def op4_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("n_units").alias("n_words"), repeats.n_removed("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the attention model and the word unigram model; fold 2 of 7 is never learned from."""
+    import public_tokenizers
+
+    training = fold(F.col("doc_id"), 7) != 2
+    return attention_lm.score(table(spark, sf_dir, "documents"), training, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its probability under the raked mix, whether it is kept, and its weight."""
     got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
@@ -64,6 +77,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("_found")).alias("spans"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector at cosine 0.95."""
+    return epsilon_grid.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     got = table(spark, sf_dir, "pages").select("page_id", "url", pages.page_text(F.col("html")).alias("text"))
@@ -71,7 +89,7 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_language_id": op2_language_id, "op3_repeated_bytes": op3_repeated_bytes, "op4_repeated_words": op4_repeated_words, "op6_source_mix": op6_source_mix, "op7_decontamination": op7_decontamination, "op8_secret_scan": op8_secret_scan,
-    "op10_page_text": op10_page_text,
+    "op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_repeated_bytes": op3_repeated_bytes, "op4_repeated_words": op4_repeated_words, "op5_lm_score": op5_lm_score, "op6_source_mix": op6_source_mix, "op7_decontamination": op7_decontamination, "op8_secret_scan": op8_secret_scan,
+    "op9_embedding_dedup": op9_embedding_dedup, "op10_page_text": op10_page_text,
 }
-SQL: dict[str, str] = {"op6_source_mix": answers.source_mix(), "op7_decontamination": answers.DECONTAMINATION, "op8_secret_scan": answers.secret_scan()}
+SQL: dict[str, str] = {"op1_jaccard_join": answers.JACCARD, "op6_source_mix": answers.source_mix(), "op7_decontamination": answers.DECONTAMINATION, "op8_secret_scan": answers.secret_scan()}
