@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from filigree.sources.staging import stage
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Columns that ``mix`` adds; input columns of these names are replaced.
+ADDED = ("_tokens", "_topic", "_probability", "_kept", "_weight")
 #: Topics by what a whole text holds, the first that applies; a parameter of ``topic_of``. The rest is 'prose'.
 TOPICS = {"licence": "[Ll]icen[cs]e|[Cc]opyright", "contact": "@[A-Za-z0-9-]+[.][a-z]", "credentials": "[Pp]assw|[Ss]ecret|[Tt]oken|AKIA", "markup": "[%$#&*]{3}"}
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -74,8 +76,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     cells = stage(counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     raked = rake(cells, {d: flattened(cells, d, power) for d in DIMENSIONS}, sweeps)
     ratios = stage(raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), (F.col("weight") / F.col("tokens")).alias("_ratio")))
-    out = docs.withColumns({"_source": s, "_lang": g, "_topic": topic_of(body), "_tokens": n_tokens(F.col(text))}).join(ratios, [f"_{d}" for d in DIMENSIONS], "left")
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    named = docs.select(F.struct(*kept).alias("row"), F.col(doc_id).alias("_id"), s.alias("_source"), g.alias("_lang"), topic_of(body).alias("_topic"), n_tokens(F.col(text)).alias("_tokens"))
     rate = F.round(keep_share * F.coalesce(F.col("_ratio"), F.lit(1.0)), 9)
-    out = out.withColumn("_rate", rate).withColumn("_probability", F.least(F.lit(1.0), "_rate")).withColumn("_kept", chance(F.col(doc_id), seed) < F.col("_probability"))
+    out = named.join(ratios, [f"_{d}" for d in DIMENSIONS], "left").withColumn("_rate", rate).withColumn("_probability", F.least(F.lit(1.0), "_rate"))
     weight = F.when(F.col("_probability") > 0, F.col("_rate") / F.col("_probability")).otherwise(F.lit(0.0))
-    return out.withColumn("_weight", weight).drop("_source", "_lang", "_ratio", "_rate")
+    return out.select("row.*", "_tokens", "_topic", "_probability", (chance(F.col("_id"), seed) < F.col("_probability")).alias("_kept"), weight.alias("_weight"))

@@ -99,7 +99,7 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def find(docs: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a column ``_found`` of spans, and the ledger rows to append.
+    """``docs`` with a column ``_found`` of spans (one of that name is replaced), and the ledger rows to append.
 
     Every row of ``docs`` stays, repeated ones too; a row without secrets has an empty array. New ledger rows are written once to the
     shared folder. Findings are joined back by blob; a blob with very many paths is a
@@ -107,8 +107,10 @@ def find(docs: DataFrame, ledger: DataFrame | None = None, *, text: str = "text"
     """
     fresh = stage(scan(docs, ledger, text=text, rules=rules))
     known = stage(findings(fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "spans")), rules))
-    got = docs.withColumn("_blob", blob_of(F.col(text))).join(known.withColumnRenamed("blob", "_blob").withColumnRenamed("found", "_found"), "_blob", "left")
-    return got.withColumn("_found", F.coalesce("_found", F.lit([]).cast(f"array<{SPAN}>"))).drop("_blob"), fresh
+    kept = [c for c in docs.columns if c.lower() != "_found"]
+    packed = docs.select(F.struct(*kept).alias("row"), blob_of(F.col(text)).alias("blob"))
+    got = packed.join(known, "blob", "left")
+    return got.select("row.*", F.coalesce("found", F.lit([]).cast(f"array<{SPAN}>")).alias("_found")), fresh
 
 
 def listed(spans: Column) -> Column:
