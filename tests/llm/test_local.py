@@ -90,7 +90,7 @@ def test_similar_sets_share_a_node_and_trees_link_exactly(seed):
 
 
 def test_every_slot_is_scored_once():
-    for n in (1, 2, 31, 32, 33, 55, 56, 57, 80, 500):
+    for n in (1, 2, 23, 24, 25, 43, 44, 45, 64, 80, 500):
         slots = np.arange(n) % attention_lm.SLOTS
         x, y, scored = attention_lm.cut_windows(slots)
         assert y[scored].tolist() == slots.tolist()
