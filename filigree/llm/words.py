@@ -6,6 +6,8 @@ cut never splits a character.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -61,7 +63,7 @@ def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = SE
 
 
 _KNOWN: dict[bytes, int] = {}
-_MOST_KNOWN = 1 << 19
+_MOST_KNOWN = 1 << 18
 
 
 def word_hashes(data: bytes, word: np.ndarray = SPACED, seed: int = SEEDS[0]) -> np.ndarray:
@@ -101,7 +103,7 @@ def shingles(hashes: np.ndarray, width: int, seed: int = SEEDS[0]) -> np.ndarray
     return np.unique(windows(hashes, min(width, len(hashes)), seed))
 
 
-def as_bytes(column: pa.Array) -> list[bytes | None]:
-    """A text column of an Arrow batch as UTF-8 bytes."""
+def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """A text column of an Arrow batch as UTF-8 bytes, one text copied at a time."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
+    return (value.as_py() for value in column.cast(kind))
