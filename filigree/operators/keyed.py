@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
 
 
 def last_per_key(rows: DataFrame, keys: list[str], arrival: list[str], payload: list[str]) -> DataFrame:
@@ -15,27 +18,35 @@ def last_per_key(rows: DataFrame, keys: list[str], arrival: list[str], payload:
     )
 
 
+def _slice_of(kind: DataType, column: Column, width: int) -> Column:
+    """A coarse number that never falls as the column rises: numbers by ``width``, dates and times by day; other types have one slice."""
+    if isinstance(kind, NumericType):
+        return F.floor(column / width).cast("long")
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.datediff(column.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return F.lit(0).cast("long")
+
+
 def with_previous(
     rows: DataFrame, keys: list[str], arrival: list[str], payload: list[str], slice_width: int = 1_000_000
 ) -> DataFrame:
     """Adds ``previous``, the payload of the arrival just before, within the key (NULL for the first).
 
-    The first arrival column is a number. A key is cut into slices of it; rows are compared
-    inside their slice, and a slice's first row with the end of the slice before. So a key that
-    holds very many rows is spread over many tasks, and only one row per slice meets the others.
+    A key is cut into slices of its first arrival column; rows are compared inside their slice, and a slice's first row with
+    the end of the slice before. So a key that holds very many rows is spread over many tasks, and only one row per slice
+    meets the others. NULL key parts are values like any other; NULL arrivals come first.
     """
     content, order = F.struct(*payload), F.struct(*arrival)
-    cut = rows.withColumn("_slice", F.floor(F.col(arrival[0]) / slice_width))
+    cut = rows.withColumn("_slice", _slice_of(rows.schema[arrival[0]].dataType, F.col(arrival[0]), slice_width))
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*arrival)
     inner = cut.withColumn("_prev", F.lag(content).over(in_slice))
     ends = cut.groupBy(*keys, "_slice").agg(F.max_by(content, order).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_slice")
-    before = ends.select(*keys, "_slice", F.lag("_tail").over(across).alias("_before"))
-    return (
-        inner.join(before, [*keys, "_slice"])
-        .withColumn("previous", F.coalesce("_prev", "_before"))
-        .drop("_slice", "_prev", "_before")
-    )
+    before = ends.withColumn("_before", F.lag("_tail").over(across)).where(F.col("_before").isNotNull())
+    before = before.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_slice")], "_before")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_slice")])
+    joined = inner.join(before, same, "left").withColumn("previous", F.coalesce("_prev", "_before"))
+    return joined.select(*rows.columns, "previous")
 
 
 def repeat_details(rows: DataFrame, keys: list[str], arrival: list[str], payload: list[str]) -> DataFrame:

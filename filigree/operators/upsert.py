@@ -80,10 +80,20 @@ def counter_totals(per_table: list[DataFrame]) -> DataFrame:
 
 
 def upsert_table(stored: DataFrame, batch: DataFrame, table: str, arrival: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(classified keys, new table) of a stored table by its own business key."""
-    keys = KEYS[table]
-    columns = [c for c in stored.columns if c in batch.columns]
-    classified = classify(stored.select(*columns), latest_in_batch(batch, keys, arrival, columns), keys, columns)
+    """(classified keys, new table) of a stored table by its own business key.
+
+    The new table has all stored columns. A column that the batch lacks keeps its stored value and is NULL in
+    inserted rows; a missing key column is an error. Batch columns that are not stored are only used for the arrival order.
+    """
+    keys, columns = KEYS[table], stored.columns
+    absent = [c for c in columns if c not in batch.columns]
+    if lost := [k for k in keys if k in absent]:
+        raise ValueError(f"the batch lacks key columns of {table}: {', '.join(lost)}")
+    unique = latest_in_batch(batch, keys, arrival, [c for c in columns if c not in absent])
+    unique = unique.select(*[F.lit(None).cast(stored.schema[c].dataType).alias(c) if c in absent else F.col(c) for c in columns])
+    classified = classify(stored, unique, keys, columns, (*PROVENANCE, *absent))
+    kept = F.struct(*[F.coalesce(f"new.{c}", f"old.{c}").alias(c) if c in absent else F.col(f"new.{c}").alias(c) for c in columns])
+    classified = classified.withColumn("new", F.when(F.col("new").isNotNull(), kept))
     return classified, merged(classified, columns)
 
 
@@ -146,17 +156,39 @@ def overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
 ATTRIBUTES = ["name", "exchange", "sector", "industry", "sic", "sector_source", "sic_source"]
 
 
+def _with_meant_cik(stored: DataFrame, batch: DataFrame, order: Column) -> DataFrame:
+    """The batch with the cik that its cik-less rows mean, where that is certain, and the ticker's number of ciks in the batch."""
+    held = stored.groupBy("ticker").agg(
+        F.count("*").alias("rows"), F.max("cik").alias("stored_cik"), F.max(F.col("cik").isNull()).alias("open"),
+    )
+    exact = stored.where("cik IS NOT NULL").select("ticker", "cik", F.lit(True).alias("exact")).distinct()
+    brought = batch.where("cik IS NOT NULL").groupBy("ticker", "cik").agg(F.min(order).alias("first_seen")).join(exact, ["ticker", "cik"], "left")
+    brought = brought.groupBy("ticker").agg(
+        F.count("*").alias("batch_ciks"), F.max("cik").alias("batch_cik"),
+        F.min_by("cik", F.when(F.col("exact").isNull(), F.col("first_seen"))).alias("adopter"),
+    )
+    meant = (
+        F.when(F.col("open"), F.col("adopter"))
+        .when(F.col("rows") == 1, F.col("stored_cik"))
+        .when(F.col("rows").isNull() & (F.col("batch_ciks") == 1), F.col("batch_cik"))
+    )
+    known = batch.join(held, "ticker", "left").join(brought, "ticker", "left").withColumn("cik", F.coalesce("cik", meant))
+    return known.select(*batch.columns, F.coalesce("batch_ciks", F.lit(0)).alias("batch_ciks"))
+
+
 def merge_identities(stored: DataFrame, batch: DataFrame, arrival: list[str], attributes=None) -> DataFrame:
     """Incoming listings against stored ones. Identity is (ticker, cik); the cik may be learnt later.
 
     An exact match wins. A listing with a cik otherwise adopts the ticker's stored row without
-    one (the first to arrive does). A listing without a cik means the ticker's only stored row,
-    and is ambiguous when there are several. An absent attribute never erases a stored one.
+    one (the first to arrive does). A listing without a cik means the ticker's only stored row, or if none is stored the only
+    one in the batch, and is ambiguous when there are several. Rows of a batch that mean one security are one result row. An absent
+    attribute never erases a stored one.
     """
     attributes = attributes or ATTRIBUTES
     order = F.struct(*arrival)
+    batch = _with_meant_cik(stored, batch, order)
     incoming = batch.groupBy("ticker", "cik").agg(
-        F.min(order).alias("first_seen"),
+        F.min(order).alias("first_seen"), F.max("batch_ciks").alias("batch_ciks"),
         *[F.max_by(a, F.when(F.col(a).isNotNull(), order)).alias(f"new_{a}") for a in attributes],
     )
     per_ticker = stored.groupBy("ticker").agg(
@@ -179,7 +211,7 @@ def merge_identities(stored: DataFrame, batch: DataFrame, arrival: list[str], at
         .when(has_cik & (F.col("adopter") == F.col("cik")), "adopted")
         .when(has_cik, "inserted")
         .when(F.col("open_id").isNotNull(), "matched")
-        .when(F.coalesce("stored_rows", F.lit(0)) == 0, "inserted")
+        .when(F.coalesce("stored_rows", F.lit(0)) + F.coalesce("batch_ciks", F.lit(0)) == 0, "inserted")
         .when(F.col("stored_rows") == 1, "matched")
         .otherwise("ambiguous")
     )

@@ -1435,7 +1435,7 @@ def submission_documents(i: Inputs) -> DataFrame:
 
     recent = F.struct(
         col("accession_no").alias("accessionNumber"),
-        F.when(ragged, F.slice(col("form"), 2, 1000)).otherwise(col("form")).alias("form"), col("filed").alias("filingDate"),
+        F.when(ragged, F.slice(col("form"), 2, F.greatest(F.size(col("form")) - 1, F.lit(0)))).otherwise(col("form")).alias("form"), col("filed").alias("filingDate"),
         col("reported").alias("reportDate"), col("items").alias("items"), col("document").alias("primaryDocument"),
     )
     body = F.struct(

@@ -7,7 +7,7 @@ bars grows with the input. Money is summed in whole cents, so sums are exact in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -80,7 +80,7 @@ class Inputs:
         sums = self._period_sums()
         c = self.table("customer")
         segments = ", ".join(f"'{s}'" for s in SEGMENTS)
-        by_customer = sums.where("k IN (2, 4)").join(
+        by_customer = sums.join(
             c.selectExpr("c_custkey AS custkey", f"CAST(array_position(array({segments}), c_mktsegment) - 1 AS int) AS seg"),
             "custkey",
         )
@@ -97,9 +97,11 @@ class Inputs:
         return by_customer.unionByName(by_nation)
 
     def facts(self) -> DataFrame:
-        """Own and comparative figures of every filing: a year's values appear in two filings."""
-        pv = self.period_values().withColumn("fy", F.explode(F.array(F.col("y"), F.col("y") + 1)))
-        pv = pv.where("fy BETWEEN 1996 AND IF(k <= 2, 2001, 2000)").selectExpr(
+        """Own and comparative figures of every filing: a year's values also appear in the issuer's next filing, if it has one."""
+        following = F.lead("y").over(Window.partitionBy("cik", "k").orderBy("y"))
+        filed = F.when(following == F.col("y") + 1, F.array(F.col("y"), F.col("y") + 1)).otherwise(F.array("y"))
+        pv = self.period_values().withColumn("filed", filed).withColumn("fy", F.explode("filed")).drop("filed")
+        pv = pv.selectExpr(
             "*",
             "k = 4 AS annual",
             "fy = y AS own",
@@ -354,7 +356,7 @@ v_sums AS (
 v_pv AS (
   SELECT lpad(CAST(custkey + 1000000 AS VARCHAR), 10, '0') AS cik,
     list_position({list(SEGMENTS)!r}, c_mktsegment) - 1 AS seg, y, k, {_PV_COLUMNS}
-  FROM v_sums JOIN customer ON c_custkey = custkey WHERE k IN (2, 4)
+  FROM v_sums JOIN customer ON c_custkey = custkey
   UNION ALL
   SELECT lpad(CAST(n_nationkey + 1 AS VARCHAR), 10, '0'), n_regionkey, y, k, {_PV_COLUMNS} FROM (
     SELECT c_nationkey, y, k, {_SUMS} FROM v_sums JOIN customer ON c_custkey = custkey GROUP BY c_nationkey, y, k)
@@ -363,8 +365,8 @@ v_filed AS (
   SELECT *, cik || '-' || lpad(CAST(fy % 100 AS VARCHAR), 2, '0') || '-00000' || k AS accession,
     CASE WHEN k = 4 THEN make_date(fy + 1, 2, 15) ELSE CAST(last_day(make_date(fy, 3*k, 1)) + 40 AS DATE) END AS filed_date,
     CASE WHEN k = 4 THEN '10-K' ELSE '10-Q' END AS form
-  FROM (SELECT *, unnest([y, y + 1]) AS fy FROM v_pv)
-  WHERE fy BETWEEN 1996 AND (CASE WHEN k <= 2 THEN 2001 ELSE 2000 END)),
+  FROM (SELECT *, unnest(CASE WHEN after = y + 1 THEN [y, y + 1] ELSE [y] END) AS fy
+    FROM (SELECT *, lead(y) OVER (PARTITION BY cik, k ORDER BY y) AS after FROM v_pv))),
 v_facts AS (
   SELECT cik, f.taxonomy AS taxonomy, f.concept AS concept, f.unit AS unit, f.value AS value,
     f.period_start AS period_start, f.period_end AS period_end, CAST(fy AS INTEGER) AS fiscal_year,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one in a single local process, as in tests; an error on a cluster."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
         held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="filigree-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root)

@@ -235,10 +235,11 @@ def test_ticker_map_and_resolution(spark):
 
 
 def test_landing_provenance_and_fallback(spark, tmp_path):
-    docs = spark.createDataFrame([('{"a": 1}',), ('{"b": 2}',)], "payload string").coalesce(1)
+    docs = spark.createDataFrame([('{"a":\n 1}',), ('{"b": 2}',)], "payload string").coalesce(1)
     DOC.write_landing(docs, str(tmp_path / "zone"))
     back = DOC.read_landing(spark, str(tmp_path / "zone"))
-    assert back.count() == 1 and ".gz" in back.first().raw_path
+    assert sorted(r.payload for r in back.collect()) == ['{"a":  1}', '{"b": 2}'] and ".gz" in back.first().raw_path
+    assert DOC.read_landing(spark, str(tmp_path / "zone"), one_per_file=True).count() == 1
     r = docs.selectExpr("payload", "'sec' AS provider", "'x' AS dataset", "'{}' AS parameters", "timestamp_ntz'2025-01-01' AS retrieved_at")
     ids = [(x.source_id, x.content_hash) for x in PV.retrieval_rows(r).collect()]
     assert ids == [(x.source_id, x.content_hash) for x in PV.retrieval_rows(r).collect()] and len(set(ids)) == 2
@@ -395,3 +396,39 @@ def test_tick_bars_update_late_ticks(spark, tmp_path):
     assert run([(1, t0, 5.0, 1), (1, t0 + dt.timedelta(hours=1), 7.0, 2)]) == {"2025-01-01": (5.0, 7.0, 5.0, 7.0, 2)}
     got = run([(1, t0 - dt.timedelta(hours=1), 4.0, 0), (1, t0 + dt.timedelta(days=1), 8.0, 3)])
     assert got == {"2025-01-01": (4.0, 7.0, 4.0, 7.0, 3), "2025-01-02": (8.0, 8.0, 8.0, 8.0, 1)}
+
+
+def test_previous_keeps_null_keys_and_arrivals(spark):
+    for kind, values in (("int", [None, 1, 2_000_001, 2_000_002]), ("string", [None, "a", "b", "c"]), ("date", [None, dt.date(2020, 1, 1), dt.date(2020, 1, 2), dt.date(2024, 1, 1)]),
+                         ("timestamp", [None, dt.datetime(2020, 1, 1, 1), dt.datetime(2020, 1, 1, 2), dt.datetime(2021, 1, 1)])):
+        df = spark.createDataFrame([(k, v, n) for k in (None, "x") for n, v in enumerate(values)], f"k string, a {kind}, p int").withColumn("extra", F.lit("kept"))
+        got = K.with_previous(df, ["k"], ["a"], ["p"]).collect()
+        assert sorted(((r.k, r.p, r.previous and r.previous.p) for r in got), key=str) == sorted(((k, n, n - 1 if n else None) for k in (None, "x") for n in range(4)), key=str)
+        assert {r.extra for r in got} == {"kept"}
+
+
+def test_upsert_keeps_columns_the_batch_lacks(spark):
+    from filigree.sources.tables import KEYS
+
+    keys = KEYS["price_daily"]
+    stored = spark.createDataFrame([(1, dt.date(2024, 1, 2), 5.0, 4.5), (1, dt.date(2024, 1, 3), 6.0, 5.5)], "security_id bigint, trade_date date, close double, adj_close double")
+    batch = spark.createDataFrame([(1, dt.date(2024, 1, 3), 7.0, 1), (2, dt.date(2024, 1, 3), 8.0, 2)], "security_id bigint, trade_date date, close double, n int")
+    assert set(keys) <= set(stored.columns)
+    classified, new = U.upsert_table(stored, batch, "price_daily", ["n"])
+    assert new.columns == stored.columns
+    assert sorted(map(tuple, new.collect())) == [(1, dt.date(2024, 1, 2), 5.0, 4.5), (1, dt.date(2024, 1, 3), 7.0, 5.5), (2, dt.date(2024, 1, 3), 8.0, None)]
+    assert sorted(r.status for r in classified.collect()) == ["inserted", "kept", "updated"]
+    with pytest.raises(ValueError, match="trade_date"):
+        U.upsert_table(stored, batch.drop("trade_date"), "price_daily", ["n"])
+
+
+def test_identity_merge_within_one_batch(spark):
+    stored = spark.createDataFrame([(9, None, "T", "Old"), (5, "0000000005", "U", "U5")], "security_id bigint, cik string, ticker string, name string")
+    rows = [("T", None, "T name", 1), ("T", "0000000001", None, 2), ("N", None, "N name", 3), ("N", "0000000002", None, 4), ("M", None, "M?", 5), ("M", "0000000003", "M3", 6), ("M", "0000000004", "M4", 7),
+            ("U", None, "U new", 8), ("U", "0000000005", None, 9)]
+    batch = spark.createDataFrame(rows, "ticker string, cik string, name string, n int")
+    got = sorted(((r.ticker, r.cik, r.security_id, r.action, r.name) for r in U.merge_identities(stored, batch, ["n"], ["name"]).collect()), key=str)
+    assert got == sorted([
+        ("T", "0000000001", 9, "adopted", "T name"), ("N", "0000000002", None, "inserted", "N name"), ("M", None, None, "ambiguous", "M?"),
+        ("M", "0000000003", None, "inserted", "M3"), ("M", "0000000004", None, "inserted", "M4"), ("U", "0000000005", 5, "matched", "U new"),
+    ], key=str)
