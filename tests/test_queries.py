@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
+from filigree.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -40,7 +41,7 @@ def plain(df):
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
-NAMES = sorted(entry_point.oracle_sql()) if os.environ.get("FILIGREE_ALL") else DEFAULT
+NAMES = sorted(n for n, q in REGISTRY.items() if q.sql) if os.environ.get("FILIGREE_ALL") else DEFAULT
 
 
 @pytest.mark.parametrize("name", NAMES)
