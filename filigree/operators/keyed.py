@@ -73,29 +73,31 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int) -
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def exact_rank(values: DataFrame, keys: list[str], value: str, rank: Column, buckets: int = 4096) -> DataFrame:
+def exact_rank(values: DataFrame, keys: list[str], value: str, rank: Column, buckets: int = 4096, rounds: int = 2) -> DataFrame:
     """The ``rank``-th smallest value per key (``rank`` is an expression over the count ``n``, from 1).
 
-    Equal values are counted first. Each key's range is cut into ``buckets`` equal parts; the part
-    that holds the wanted rank follows from the part counts, and only its distinct values are
-    ordered. No task sees more of a key than one part of its range or the list of part counts.
+    Equal values are counted first. Each key's range is cut into ``buckets`` equal parts; the part that holds the wanted rank follows
+    from the part counts, and only that part goes on. It is cut again by its own range, so values that crowd together beside
+    a few far ones are spread over parts too. Only what is left after ``rounds`` is ordered.
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    spans = counted.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("c").alias("n"))
-    part = F.least(
-        F.lit(buckets - 1),
-        F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * buckets),
-    ).cast("int")
-    placed = counted.join(spans.withColumn("rank", rank), keys).withColumn("part", part)
-    totals = placed.groupBy(*keys, "rank", "part").agg(F.sum("c").alias("c"))
+    ranks = counted.groupBy(*keys).agg(F.sum("c").alias("n")).withColumn("rest", rank)
+    inside = counted.join(ranks, keys)
+    for _ in range(rounds):
+        inside = _part_of_rank(inside, keys, value, buckets)
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(value))
+    ordered = inside.withColumn("upto", upto)
+    return ordered.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("c") < F.col("rest"))).select(*keys, "n", value)
+
+
+def _part_of_rank(counted: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """The rows (``value``, its count ``c``, ``n``, ``rest``) of the equal-width part that holds the ``rest``-th value of each key."""
+    spans = counted.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    share = F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    placed = counted.join(spans, keys).withColumn("part", F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int"))
+    totals = placed.groupBy(*keys, "rest", "part").agg(F.sum("c").alias("c"))
     seen = totals.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("part")))
-    target = seen.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select(
-        *keys, "part", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rest")
-    )
-    inside = placed.drop("rank").join(target, [*keys, "part"])
-    w = Window.partitionBy(*keys, "part").orderBy(value)
-    return (
-        inside.withColumn("upto", F.sum("c").over(w))
-        .where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("c") < F.col("rest")))
-        .select(*keys, "n", value)
+    target = seen.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("c") < F.col("rest"))).select(
+        *keys, "part", (F.col("rest") - (F.col("upto") - F.col("c"))).alias("rest")
     )
+    return placed.drop("rest").join(target, [*keys, "part"]).select(*keys, value, "c", "n", "rest")

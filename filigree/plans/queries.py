@@ -1463,10 +1463,10 @@ def submission_profiles(i: Inputs) -> DataFrame:
 
 
 def ticker_documents(i: Inputs) -> DataFrame:
-    """Ticker map documents, one per exchange and nation of the suppliers."""
+    """Ticker map documents of at most a thousand suppliers of one nation each."""
     s = i.table("supplier")
     row = F.array(F.col("s_suppkey").cast("string"), F.col("s_name"), F.concat(F.lit("s."), F.substring("s_name", 18, 1)), F.lit("NYSE"))
-    rows = s.groupBy("s_nationkey").agg(F.collect_list(row).alias("data"))
+    rows = s.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 1000)).agg(F.collect_list(row).alias("data"))
     body = F.struct(F.array(*[F.lit(x) for x in DOC.TICKER_MAP_FIELDS]).alias("fields"), "data")
     return rows.select(F.to_json(body).alias("payload"))
 
