@@ -69,6 +69,8 @@ def _symbol(raw: str) -> str:
 
 def _criterion(raw: dict) -> Criterion:
     _only({"metric", "op", "value", "low", "high", "unit", "label"}, raw, "criterion")
+    if absent := {"metric", "op"} - set(raw):
+        raise ScreenError(f"criterion: fields {sorted(absent)} are missing")
     c = Criterion(**raw)
     if c.metric not in METRIC:
         raise ScreenError(f"unknown metric {c.metric!r}")
@@ -82,7 +84,7 @@ def _criterion(raw: dict) -> Criterion:
     if c.op == "between" and c.low > c.high:
         raise ScreenError("between: low is above high")
     fraction = METRIC[c.metric][2] == "fraction"
-    if fraction != (c.unit in ("fraction", "percent")):
+    if c.unit not in (("fraction", "percent") if fraction else ("native",)):
         raise ScreenError(f"{c.metric}: unit {c.unit!r} does not fit")
     return c
 

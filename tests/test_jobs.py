@@ -36,6 +36,8 @@ from filigree.streaming import jobs as J
         {"criteria": [{"metric": "gross_margin", "op": "gt", "value": 15}]},
         {"criteria": [{"metric": "fcf", "op": "gt", "value": 15, "unit": "percent"}]},
         {"criteria": [{"metric": "fcf", "op": "gt", "value": 1, "surprise": 1}]},
+        {"criteria": [{"metric": "fcf", "op": "gt", "value": 1, "unit": "banana"}]},
+        {"criteria": [{"metric": "fcf", "value": 1}]},
         {"criteria": [{"metric": "fcf", "op": "gt", "value": 1}] * 21},
         {"classification": {"taxonomy": "nasdaq", "sic_codes": ["3674"]}},
         {"classification": {"taxonomy": "sec_sic", "sector": "Technology"}},
