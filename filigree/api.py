@@ -106,18 +106,17 @@ def screen(tables: Tables, spec: dict | SC.Screen, as_of=None, **options) -> Dat
     return SC.run_screen(views, checked)
 
 
-def evidence(tables: Tables, as_of, *, since, companies: DataFrame) -> dict[str, DataFrame]:
-    """Filing items, metric items and section statuses of all companies (cik, ticker)."""
+def evidence(tables: Tables, as_of, *, since, companies: DataFrame, annual: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Filing items, metric items and section statuses of all companies (cik, ticker).
+
+    ``annual`` holds each issuer's latest fiscal-year lines; with it, annual figures count as earnings evidence.
+    """
     views = listing_views(tables, as_of)
     filings = EV.filing_items(tables.filings, companies, since)
     metric_rows = EV.metric_items(views, as_of)
-    counts = (
-        filings.select("cik", "section")
-        .unionByName(metric_rows.select("cik", "section"))
-        .unionByName(companies.select("cik", F.lit("identity").alias("section")))
-        .groupBy("cik", "section")
-        .agg(F.count("*").alias("items"))
-    )
+    lines = EV.annual_report_items(annual) if annual is not None else companies.limit(0)
+    counted = metric_rows.groupBy("cik", "section").agg(F.count("*").alias("items"))
+    counts = EV.section_counts(filings, counted, lines, companies)
     known = companies
     if tables.sources is not None:
         known = companies.join(PV.fundamentals_coverage(tables.sources), "cik", "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -176,6 +179,25 @@ def metric_items(views: DataFrame, as_of) -> DataFrame:
     return rows.select(ident.alias("item_id"), "section", "title", "ticker", "cik", "as_of", "content", "missing")
 
 
+def metric_item_counts(listings: DataFrame) -> DataFrame:
+    """How many rows ``metric_items`` has per issuer and section, from the listings (cik, unavailable) alone: no metric is computed."""
+    titles = Counter(section for section, _, _ in METRIC_ITEMS)
+    sections = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("n")) for s, n in titles.items()])
+    rows = listings.select("cik", "unavailable", F.inline(sections))
+    rows = rows.where(F.col("unavailable").isNull() | ~F.col("section").isin("fundamentals", "balance_sheet"))
+    return rows.groupBy("cik", "section").agg(F.sum("n").alias("items"))
+
+
+def section_counts(filings: DataFrame, metrics: DataFrame, annual: DataFrame, companies: DataFrame) -> DataFrame:
+    """Evidence rows per issuer and section: filing items, metric items (counted), annual figures and the company's identity."""
+    one = F.lit(1).cast("bigint").alias("items")
+    parts = (
+        filings.select("cik", "section", one), metrics.select("cik", "section", "items"),
+        annual.select("cik", F.lit("earnings").alias("section"), one), companies.select("cik", F.lit("identity").alias("section"), one),
+    )
+    return reduce(DataFrame.unionByName, parts).groupBy("cik", "section").agg(F.sum("items").alias("items"))
+
+
 ANNUAL_LINES = ("revenue", "net_income_to_common", "diluted_eps", "operating_cash_flow", "capex")
 
 

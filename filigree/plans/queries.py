@@ -1253,12 +1253,10 @@ def filing_window(i: Inputs) -> DataFrame:
 
 
 def _evidence(i: Inputs) -> DataFrame:
-    filed = filing_items(i).groupBy("cik", "section").agg(F.count("*").alias("items"))
-    annual = EV.annual_report_items(_annual(i, *EV.ANNUAL_LINES)).select("cik", F.lit("earnings").alias("section"), F.lit(1).alias("items"))
-    ident = i.issuers().select("cik", F.lit("identity").alias("section"), F.lit(1).alias("items"))
-    counts = filed.unionByName(annual).unionByName(ident).groupBy("cik", "section").agg(F.sum("items").alias("items"))
     companies = i.issuers().join(PV.fundamentals_coverage(i.sources()), "cik", "left")
-    return EV.section_status(companies, counts)
+    listings = i.securities().where("cik IS NOT NULL").select("cik").join(companies.select("cik", "unavailable"), "cik")
+    annual = EV.annual_report_items(_annual(i, *EV.ANNUAL_LINES))
+    return EV.section_status(companies, EV.section_counts(filing_items(i), EV.metric_item_counts(listings), annual, i.issuers()))
 
 
 @query("evidence_sections", _placed(f"""
@@ -1269,8 +1267,11 @@ def _evidence(i: Inputs) -> DataFrame:
   LEFT JOIN (SELECT cik, section, sum(n) AS n FROM (
       SELECT cik, section, count(*) AS n FROM placed WHERE filing_date >= DATE '{SINCE}' GROUP BY ALL
       UNION ALL SELECT cik, 'earnings', 1 FROM wide WHERE coalesce(revenue.value, net_income_to_common.value, diluted_eps.value, operating_cash_flow.value, capex.value) IS NOT NULL
-      UNION ALL SELECT lpad(CAST(c_custkey + 1000000 AS VARCHAR), 10, '0'), 'identity', 1 FROM customer) GROUP BY ALL) USING (cik, section)
-  LEFT JOIN coverage USING (cik)""", "wide", "coverage"))
+      UNION ALL SELECT lpad(CAST(c_custkey + 1000000 AS VARCHAR), 10, '0'), 'identity', 1 FROM customer
+      UNION ALL SELECT s.cik, m.section, m.titles FROM v_securities s LEFT JOIN coverage USING (cik),
+        (VALUES ('price', 2), ('fundamentals', 3), ('balance_sheet', 1), ('valuation', 1)) AS m(section, titles)
+        WHERE s.cik IS NOT NULL AND (unavailable IS NULL OR m.section NOT IN ('fundamentals', 'balance_sheet'))) GROUP BY ALL) USING (cik, section)
+  LEFT JOIN coverage USING (cik)""", "wide", "coverage", "v_securities"))
 def evidence_sections(i: Inputs) -> DataFrame:
     return _evidence(i)
 
