@@ -62,27 +62,16 @@ def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = SE
     return mix(sums + lengths.astype(np.uint64) * _U(seed))
 
 
-_KNOWN: dict[bytes, int] = {}
-_MOST_KNOWN = 1 << 18
+def word_hashes(data: bytes, word: np.ndarray = SPACED, seed: int = SEEDS[0]) -> np.ndarray:
+    return hash_spans(data, *spans(data, word), seed)
 
 
-def word_hashes(data: bytes, word: np.ndarray = SPACED, seed: int = SEEDS[0]) -> np.ndarray:
-    """The hash of every word in order. Hashes of white-space words are remembered, up to a fixed number per process."""
-    if word is not SPACED or seed != SEEDS[0]:
-        return hash_spans(data, *spans(data, word), seed)
-    words = data.split()
-    got = list(map(_KNOWN.get, words))
-    if None in got:
-        new = list({w for w, h in zip(words, got, strict=True) if h is None})
-        if len(new) > _MOST_KNOWN // 4:
-            return hash_spans(data, *spans(data, word), seed)
-        if len(_KNOWN) + len(new) > _MOST_KNOWN:
-            _KNOWN.clear()
-        joined = b" ".join(new)
-        fresh = dict(zip(new, hash_spans(joined, *spans(joined, word), seed).tolist(), strict=True))
-        _KNOWN.update(fresh)
-        got = [fresh[w] if h is None else h for w, h in zip(words, got, strict=True)]
-    return np.fromiter(got, np.uint64, len(got))
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; a plain sort is several times faster here than a hash-based unique."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
 
 
 def windows(hashes: np.ndarray, width: int, seed: int = SEEDS[0]) -> np.ndarray:
@@ -100,7 +89,7 @@ def shingles(hashes: np.ndarray, width: int, seed: int = SEEDS[0]) -> np.ndarray
     """Distinct window hashes in ascending order; a shorter text is one window of its own length."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
-    return np.unique(windows(hashes, min(width, len(hashes)), seed))
+    return distinct(windows(hashes, min(width, len(hashes)), seed))
 
 
 def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
