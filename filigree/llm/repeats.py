@@ -108,7 +108,7 @@ def _records(job: Job) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 def _verdicts(job: Job, prefix: np.ndarray, whole: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Verdicts on sorted rows. The first and last prefix group may go on elsewhere, so they count as mixed."""
+    """Verdicts on sorted rows, a piece of a sorted partition. The first and last prefix group may go on elsewhere, so they count as mixed."""
     decided = at & _DECIDED > 0
     if decided.any():
         yield _table(doc=doc[decided], at=at[decided] >> 2, verdict=np.full(decided.sum(), _FULL, np.int64))
@@ -237,8 +237,8 @@ def find(docs: DataFrame, job: Job, *, doc_id: str, text: str, local_sort: bool)
     """``doc_id, n_units, spans, kept`` for every row of ``docs``; an empty table gives none."""
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     sent = named.mapInArrow(_records(job), "prefix long, whole long, doc long, at long").repartitionByRange("prefix", "whole")
-    if not local_sort:
-        sent = sent.sortWithinPartitions("prefix", "whole", "doc", "at")
+    # A task judges its rows a fold at a time, so a group has to lie in one fold or be cut by its ends.
+    sent = sent.sortWithinPartitions("prefix", "whole", *(() if local_sort else ("doc", "at")))
     verdicts = stage(sent.mapInArrow(_classified(job, local_sort), "doc long, at long, verdict long"))
     opened = verdicts.where(F.col("verdict").bitwiseAND(_OPEN) > 0).groupBy("doc").agg(F.collect_list("at").alias("marks"))
     rows = named.join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "marks").mapInArrow(_windows(job), "h long, doc long, at long")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from filigree.llm import attention_lm, components, contamination, epsilon_grid, jaccard, language, mixing, queries, secrets, suffix_array, suffix_tree
+from filigree.llm import attention_lm, components, contamination, epsilon_grid, jaccard, language, mixing, queries, repeats, secrets, suffix_array, suffix_tree
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, _found string, topic string, doc string"
 
@@ -117,6 +117,22 @@ def test_repeated_words(spark, texts):
         assert bytes(got[i].kept).decode() == " ".join(w for k, w in enumerate(s) if k not in gone)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_repeats_of_a_partition_in_many_folds(spark, texts, words, monkeypatch):
+    monkeypatch.setattr(repeats, "FOLD", 50)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(kept, ("1", "50")):
+            spark.conf.set(k, v)
+        op = suffix_tree.repeated_words if words else suffix_array.repeated_bytes
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in op(_docs(spark, texts)).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    sequences = [_words(t) if words else (t or "").encode() for t in texts]
+    assert got == dict(enumerate(_repeats(sequences, 20 if words else 200, words)))
+
+
 def test_a_repeated_row_is_no_repeat(spark):
     text = " ".join(f"w{k}" for k in range(60))
     df = _docs(spark, [text, text, "other"], [4, 4, None])
