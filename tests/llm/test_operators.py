@@ -183,6 +183,25 @@ def test_language_model_base(spark, texts):
     assert run(df.limit(0)).count() == 0
 
 
+def test_the_network_learns_from_all_training_documents(spark, monkeypatch):
+    import public_tokenizers
+
+    seen = []
+    real = attention_lm.train
+
+    def train(docs, scorer, *, text, share, **more):
+        before = scorer.theta.copy()
+        after = real(docs, scorer, text=text, share=share, **more)
+        seen.append((docs.where(share).count(), bool((before != after.theta).any())))
+        return after
+
+    monkeypatch.setattr(attention_lm, "train", train)
+    score = lambda df: attention_lm.score(df, F.col("doc_id") % 4 != 0, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    for n in (8, 4000):  # fewer windows than a batch; more documents than were once drawn
+        score(spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("the text "), F.col("id").cast("string")).alias("text")))
+    assert seen == [(6, True), (3000, True)]
+
+
 def _contaminated(doc, items, width=13):
     cut = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", _lower(t))
     w = cut(doc)
