@@ -17,6 +17,15 @@ STOP_WORDS = frozenset(
     aber als am an auch auf aus bei das dass dem den der des die durch ein eine einen einer es für hat ich im in ist mit nach nicht noch oder sich sie sind so über um und uns von vor war wie wir zu zum zur
     au aux avec ce ces dans de des du elle en est et il ils la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sur un une vous
     al como con de del el ella en es esta este ha la las lo los más me no o para pero por que se si sin sobre su sus un una y ya
+    ai alla anche che chi ci come cui da dal dalla degli dei della delle di gli hanno i il io loro ma nei nel nella non più quando questa questo sono sua suo tra è
+    à ao aos às com da das dos e ela ele em entre essa esse foi isso já mais mas muito na não nas nos num o os ou pela pelo quando são seu sua também tem uma
+    aan bij dat deze die dit door een heeft het hij ik je maar met naar niet nog of om ook op te tot uit van voor werd wordt worden ze zijn
+    att av blev den det eller efter ett från för har hon inte jag kan man med men och om på sig som till var vid är at blev ble de det eller er et fra ikke jeg og på som til ved å
+    ale bo był była było co czy dla do go ich jak jako jest już które który lub na nie od po przez przy są się tak to tym tylko w we z za ze że a aby byl byla i jako je jeho k který na nebo o po pro při s se si tak také v z za že
+    без бы был была были было в во все вы для до его ее если и из или их к как когда который на не но о об от по при с со так также то только у что это я а але в вона він для до з за і й на не по про та у це що як є
+    ei en että hän ja joka jos kuin kun mutta myös niin on oli ovat se sen tai tämä ve bir bu da de için ile gibi çok daha olarak olan o ne kadar
+    dan di dengan dari dalam ini itu untuk pada yang tidak adalah oleh và các của cho có được không là một những trong với
+    và في من على إلى أن هذا التي الذي عن مع ما لا هو هي كان का की के में है और से को पर यह था
     """.split()
 )
 #: Elements whose text never is main text.
@@ -35,8 +44,11 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _EDGES = re.compile(r"^\W+|\W+$")
 
+#: Characters of scripts without spaces say as much as three of the others.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 #: Thresholds of the block rules.
-SHORT, LINKED, DENSE, SPARSE = 70, 0.5, 0.30, 0.10
+SHORT, LINKED, UNLINKED, DENSE = 70, 0.5, 0.2, 0.30
 
 
 class Block(NamedTuple):
@@ -110,35 +122,41 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _long(text: str) -> bool:
+    return len(text) >= SHORT or len(text) + 2 * len(_UNSPACED.findall(text)) >= SHORT
+
+
 def _decide(block: Block, has_main: bool, stop_words: frozenset[str]) -> bool | None:
     """First pass: True main text, False furniture, None undecided."""
     if block.furniture or block.link_chars > LINKED * len(block.text):
         return False
-    if len(block.text) < SHORT:
+    if not _long(block.text):
         return None
     if has_main:
         return block.zone > 0
+    if block.link_chars <= UNLINKED * len(block.text):
+        return True
     words = [_EDGES.sub("", w) for w in block.text.lower().split()]
     density = sum(w in stop_words for w in words) / len(words)
-    if density >= DENSE:
-        return True
-    return None if density >= SPARSE else False
+    return True if density >= DENSE else None
 
 
 def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
     """The page's main text: kept blocks joined by a newline.
 
-    First pass: blocks inside furniture elements or mostly made of links are furniture; long blocks are
-    decided by stop-word density, and where the page marks its article, by standing inside it.
-    Second pass: short and middling blocks take the label of the nearest decided block of the same zone;
-    where both sides are as near and differ, and where a zone has no decided block at all, they are kept
-    inside an article and dropped outside if the page has one. NULL and empty pages give ''.
+    First pass: blocks inside furniture elements or mostly made of links are furniture. Where the page marks its article, long blocks
+    are decided by standing inside it; elsewhere they are main text if they hold few links, in any language, and
+    with more links if they are dense in stop words.
+    Second pass: short and linked blocks take the label of the nearest decided block of the same zone;
+    where both sides are as near and differ, where a zone has no decided block at all, and where the page has no
+    block decided as main text, they are kept inside an article and dropped outside if the page has one. NULL and empty pages give ''.
     """
     if not page:
         return ""
     found = blocks(page)
     has_main = any(b.zone and not b.furniture for b in found)
     labels = [_decide(b, has_main, stop_words) for b in found]
+    some = True in labels
     kept = []
     last: dict[int, tuple[int, bool]] = {}
     before: list[tuple[int, bool] | None] = []
@@ -157,7 +175,7 @@ def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
             near = [x for x in (before[i], nexts[i]) if x]
             least = min((abs(i - x[0]) for x in near), default=0)
             votes = {x[1] for x in near if abs(i - x[0]) == least}
-            label = votes.pop() if len(votes) == 1 else (b.zone > 0 or not has_main)
+            label = votes.pop() if some and len(votes) == 1 else (b.zone > 0 or not has_main)
         if label:
             kept.append(b.text)
     return "\n".join(kept)

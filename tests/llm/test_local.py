@@ -156,3 +156,20 @@ PAGES = [
 @pytest.mark.parametrize("page,text", PAGES)
 def test_main_text(page, text):
     assert pages.main_text(page) == text
+
+
+FINNISH = "Kaupunginvaltuusto hyväksyi eilen uuden suunnitelman, jonka mukaan keskustan puistoa laajennetaan ensi vuonna."
+CHINESE = "市政府昨天通过了一项新的规划，明年将扩建市中心的公园，并在河边修建新的步行道和自行车道。"
+TABLE = "Aaltonen 12 34 56; Bergström 23 45 67; Chandra 34 56 78; Dvořák 45 67 89; Eriksen 56 78 90"
+LINKS = "<div><a href=a>Home</a> <a href=b>News</a></div>"
+SPARSE_PAGES = [
+    (f"{LINKS}<div>{FINNISH}</div><div>Lyhyt</div>{LINKS}", f"{FINNISH}\nLyhyt"),
+    (f"{LINKS}<div>{CHINESE}</div>{LINKS}", CHINESE),
+    (f"{LINKS}<p>{LONG}</p><div>{TABLE}</div>{LINKS}", f"{LONG}\n{TABLE}"),
+    (f"{LINKS}<p>One line of verse</p><p>and one more</p>{LINKS}", "One line of verse\nand one more"),
+]
+
+
+@pytest.mark.parametrize("page,text", SPARSE_PAGES)
+def test_main_text_with_few_stop_words(page, text):
+    assert pages.main_text(page) == text
