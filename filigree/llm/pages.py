@@ -29,17 +29,19 @@ STOP_WORDS = frozenset(
     """.split()
 )
 #: Elements whose text never is main text.
-_RAW = "script|style|noscript|template|title|textarea|svg|math|iframe|object|select|head(?!er)"
+_RAW = "script|style|noscript|template|title|textarea|svg|math|iframe|object|select"
 _OUT = frozenset("nav footer aside form menu dialog button fieldset".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
-#: Words in class, id or role that mark furniture of a page.
-_FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|social|sidebar|side|nav\w*|menu\w*|breadcrumbs?|pagination|pager"
-    r"|footer|header|masthead|related|recommended|comments?|commentlist|discussion|replies|reply|widget|toolbar|login|signup|search|contentinfo|complementary|disclaimer)(?:$|[\s_-])",
-    re.I,
+#: Furniture that never is a wrapper of the page for the mass of its text alone.
+_ASIDE = frozenset("nav footer aside menu dialog button".split())
+_WORDS = (
+    r"(?:ad|ads|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|social|sidebar|side|nav[a-z]*|menu[a-z]*|breadcrumbs?|pagination|pager"
+    r"|footer|header|masthead|related|recommended|comments?|commentlist|discussion|replies|reply|widget|toolbar|login|signup|search|contentinfo|complementary|disclaimer)"
 )
+#: Whole names in class, id or role that mark furniture of a page: such words, also joined, or after the place they stand at.
+_FURNITURE = re.compile(rf"(?:^|\s)(?:(?:site|page|global|main|primary|secondary|top|bottom)[_-]+)*{_WORDS}(?:[_-]+{_WORDS})*(?=\s|$)", re.I)
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -55,16 +57,23 @@ class Block(NamedTuple):
     text: str
     link_chars: int
     zone: int  # 0: outside; n: inside the n-th article or main element
-    furniture: bool
+    furniture: int  # the innermost element that makes it furniture, by its place in the page; 0: none
+    article: int  # the outermost article or main element around it, furniture or not; 0: none
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with what the rules look at.
+class Marked(NamedTuple):
+    """An element that makes its text furniture."""
 
-    A block ends at every tag that is not inline. Unclosed elements end with the element around them.
-    """
+    tag: str
+    around: int  # the next such element around it
+
+
+def _read(page: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int, Marked], dict[int, int]]:
+    """Blocks, furniture elements but for the ``wrappers``, and the furniture element around each outermost article."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, furniture, zone
+    marked: dict[int, Marked] = {}
+    articles: dict[int, int] = {}
+    stack: list[tuple[str, int, int, int]] = []  # tag, furniture, zone, article
     parts: list[str] = []
     linked = zones = in_link = 0
 
@@ -72,8 +81,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            top = stack[-1] if stack else ("", False, 0)
-            out.append(Block(text, linked, top[2], top[1]))
+            _, bad, zone, article = stack[-1] if stack else ("", 0, 0, 0)
+            out.append(Block(text, linked, zone, bad, article))
         parts.clear()
         linked = 0
 
@@ -109,19 +118,68 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        _, bad, zone = stack[-1] if stack else ("", False, 0)
+        _, bad, zone, article = stack[-1] if stack else ("", 0, 0, 0)
         named = " ".join(next(filter(None, g), "") for g in _NAMED.findall(m["attrs"] or ""))
+        if tag in _MAIN and not article:
+            article = at
+            articles[at] = bad
         if tag in _MAIN and not zone and not bad:
             zones += 1
             zone = zones
-        if tag not in ("html", "body") and (tag in _OUT or (tag == "header" and not zone) or (tag not in _MAIN and named and _FURNITURE.search(named))):
-            bad = True
-        stack.append((tag, bad, zone))
+        if at not in wrappers and tag not in ("html", "head", "body") and (tag in _OUT or (tag == "header" and not zone) or (tag not in _MAIN and named and _FURNITURE.search(named))):
+            marked[at] = Marked(tag, bad)
+            bad = at
+        stack.append((tag, bad, zone, article))
     add(page[at:])
     flush()
+    return out, marked, articles
+
+
+def _wrappers(found: list[Block], marked: dict[int, Marked], articles: dict[int, int]) -> set[int]:
+    """Furniture elements that hold the page's article, or two thirds of its text where no article stands free."""
+    held, stories = dict.fromkeys(marked, 0), dict.fromkeys(articles, 0)
+    free = every = 0
+    for b in found:
+        plain = max(len(b.text) - b.link_chars, 0)
+        every += plain
+        if b.furniture:
+            held[b.furniture] += plain
+        else:
+            free += plain
+        if b.article:
+            stories[b.article] += plain
+    if any(b.zone and not b.furniture and _long(b.text) and b.link_chars <= UNLINKED * len(b.text) for b in found):
+        return set()
+    for at in reversed(list(marked)):  # inner ones come later in the page
+        if marked[at].around:
+            held[marked[at].around] += held[at]
+    out = {at for at, n in held.items() if 3 * n > 2 * every and marked[at].tag not in _ASIDE}
+    story = max(stories, key=lambda k: stories[k], default=0)
+    chain, at = [], articles.get(story, 0)
+    while at:
+        chain.append(at)
+        at = marked[at].around
+    beside = 2 if any(marked[at].tag in _ASIDE for at in chain) else 1  # a teaser in an aside is no article of the page
+    if chain and stories[story] > beside * free and not any(b.zone and not b.furniture for b in found):
+        out.update(chain)
     return out
 
 
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page in order, with what the rules look at.
+
+    A block ends at every tag that is not inline. Unclosed elements end with the element around them. An element that wraps the
+    article or nearly all text makes nothing furniture, whatever its name.
+    """
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        found, marked, articles = _read(page, wrappers)
+        more = _wrappers(found, marked, articles) if marked else set()
+        if not more:
+            return found
+        wrappers |= more
+
+
 def _long(text: str) -> bool:
     return len(text) >= SHORT or len(text) + 2 * len(_UNSPACED.findall(text)) >= SHORT
 

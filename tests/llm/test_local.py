@@ -173,3 +173,22 @@ SPARSE_PAGES = [
 @pytest.mark.parametrize("page,text", SPARSE_PAGES)
 def test_main_text_with_few_stop_words(page, text):
     assert pages.main_text(page) == text
+
+
+OTHER = "Another paragraph that stands beside the article, and it is as long as the article so that it is told apart by its place."
+WRAPPED_PAGES = [
+    (f"<html><head><title>T</title><meta charset=utf-8><link rel=x><body><p>{LONG}</p>", LONG),
+    (f"<head><title>T</title><p>{LONG}</p>", LONG),
+    (f"<body class='has-sidebar'><div class='layout has-sidebar'><p>{LONG}</p></div><div class=sidebar>{OTHER}</div>", LONG),
+    (f"<div class='content sidebar-right'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<form action=x><div><p>{LONG}</p><p>{LONG}</p></div><nav>{OTHER}</nav></form>", f"{LONG}\n{LONG}"),
+    (f"<form><nav>{OTHER}</nav><main><p>{LONG}</p><aside>{OTHER}</aside></main></form>", LONG),
+    (f"<div class=widget><form><article><h1>A</h1><p>{LONG}</p></article></form></div>", f"A\n{LONG}"),
+    (f"<main><p>{LONG}</p></main><form>{OTHER * 9}</form>", LONG),
+    (f"<div><p>{LONG}</p></div><aside><article>{OTHER}</article></aside><div class=site-footer>{OTHER}</div>", LONG),
+]
+
+
+@pytest.mark.parametrize("page,text", WRAPPED_PAGES)
+def test_main_text_in_wrappers(page, text):
+    assert pages.main_text(page) == text
