@@ -82,3 +82,42 @@ e AS (SELECT d.*, round(0.5 * coalesce(w / {last}.tokens, 1), 9) AS rate,
 SELECT doc_id, topic, tokens::BIGINT AS n_tokens, round(least(1, rate), 6) AS probability, u < least(1, rate) AS kept,
   round(CASE WHEN rate > 0 THEN rate / least(1, rate) ELSE 0 END, 6) AS weight FROM e
 """
+
+_CRC = f"xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: list_reduce([xor(a, x)] || range(8), lambda b, z: CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END)), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN {_leaf("n_chars::HUGEINT + 1")} ELSE {_leaf("n_chars")} END AS claim FROM documents),
+n0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM d),
+t AS (
+  SELECT tree, 0 AS l, p, n, leaf AS h FROM n0
+  UNION ALL
+  SELECT tree, l + 1, q, (n + 1) // 2, h FROM (SELECT tree, l, p // 2 AS q, n, sha256(string_agg(h, '' ORDER BY p)) AS h FROM t WHERE n > 1 GROUP BY tree, l, p // 2, n)),
+s0 AS MATERIALIZED (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS p, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS l, p, n, subroot AS h FROM s0
+  UNION ALL
+  SELECT l + 1, q, (n + 1) // 2, h FROM (SELECT l, p // 2 AS q, n, sha256(string_agg(h, '' ORDER BY p)) AS h FROM u WHERE n > 1 GROUP BY l, p // 2, n)),
+nodes AS MATERIALIZED (SELECT tree, l, p, n, h FROM t WHERE n > 1 UNION ALL SELECT NULL, l, p, n, h FROM u WHERE n > 1),
+way AS (
+  SELECT k, p, 0 AS l, tree AS grp, tree, claim AS h, '' AS proof FROM n0
+  UNION ALL
+  SELECT k, p, l, grp, tree, h, proof FROM (
+    SELECT w.k, CASE WHEN x.n IS NULL THEN s.p ELSE w.p // 2 END AS p, CASE WHEN x.n IS NULL THEN 0 ELSE w.l + 1 END AS l, CASE WHEN x.n IS NULL THEN NULL ELSE w.grp END AS grp, w.tree,
+      CASE WHEN x.n IS NULL THEN w.h WHEN o.h IS NULL THEN sha256(w.h) WHEN w.p % 2 = 0 THEN sha256(w.h || o.h) ELSE sha256(o.h || w.h) END AS h, w.proof || coalesce(o.h, '') AS proof, x.n IS NULL AND w.grp IS NULL AS over
+    FROM way w LEFT JOIN nodes x ON x.tree IS NOT DISTINCT FROM w.grp AND x.l = w.l AND x.p = w.p
+    LEFT JOIN nodes o ON o.tree IS NOT DISTINCT FROM w.grp AND o.l = w.l AND o.p = xor(w.p, 1) LEFT JOIN s0 s ON s.tree = w.tree) WHERE NOT over),
+last AS (SELECT k, arg_max(h, (grp IS NULL)::INT * 1000 + l) AS folded_root, arg_max(proof, (grp IS NULL)::INT * 1000 + l) AS proof FROM way GROUP BY k)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM n0 JOIN s0 USING (tree) JOIN last USING (k) CROSS JOIN (SELECT h AS root FROM u WHERE n = 1)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import answers, attention_lm, contamination, epsilon_grid, jaccard, language, mixing, pages, repeats, secrets, suffix_array, suffix_tree
+from filigree.llm import answers, attention_lm, bpe, contamination, epsilon_grid, jaccard, language, merkle, mixing, pages, repeats, secrets, suffix_array, suffix_tree, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,8 +88,32 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document; where 7 divides the id's checksum, one character more is claimed."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    tampered = F.when(fold(F.col("doc_id"), 7) == 0, merkle.leaf([more if c == "n_chars" else F.col(c) for c in merkle.FIELDS]))
+    got = merkle.manifest(docs, claimed=tampered)
+    proof = F.array_join(F.transform("proof", lambda s: F.substring(s, 2, 64)), "")
+    return got.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of every document."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    return ids.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path).cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_repeated_bytes": op3_repeated_bytes, "op4_repeated_words": op4_repeated_words, "op5_lm_score": op5_lm_score, "op6_source_mix": op6_source_mix, "op7_decontamination": op7_decontamination, "op8_secret_scan": op8_secret_scan,
-    "op9_embedding_dedup": op9_embedding_dedup, "op10_page_text": op10_page_text,
+    "op9_embedding_dedup": op9_embedding_dedup, "op10_page_text": op10_page_text, "op11_merkle_manifest": op11_merkle_manifest, "op12_bpe": op12_bpe, "op13_whitening": op13_whitening,
 }
-SQL: dict[str, str] = {"op1_jaccard_join": answers.JACCARD, "op6_source_mix": answers.source_mix(), "op7_decontamination": answers.DECONTAMINATION, "op8_secret_scan": answers.secret_scan()}
+SQL: dict[str, str] = {"op1_jaccard_join": answers.JACCARD, "op6_source_mix": answers.source_mix(), "op7_decontamination": answers.DECONTAMINATION, "op8_secret_scan": answers.secret_scan(), "op11_merkle_manifest": answers.MERKLE}
