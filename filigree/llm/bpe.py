@@ -19,15 +19,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _END = b"\n"  # ends a word; white space is never inside one
 _BLOCK = 1 << 20
-_HELD = 1 << 18
-_HELD_BYTES = 64
+_HELD = 1 << 17
+_HELD_BYTES = 32
 _FIRST_YOUNG = 0x0530  # no character below is younger than Unicode 15
 # How the vocabulary cuts normalised text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -58,7 +58,7 @@ def _has_newer(text: str) -> bool:
 
 
 class Codec:
-    """One vocabulary file: words, forced boundaries, merges and decoding."""
+    """One vocabulary file: words, forced boundaries and merges."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -66,12 +66,11 @@ class Codec:
         spec = json.loads(text)
         model, added = spec["model"], spec.get("added_tokens") or []
         if model["type"] != "BPE" or spec.get("decoder") is not None:
-            raise ValueError("a byte-level BPE file with word ends and without a decoder is asked for")
+            raise ValueError("a byte-level BPE file with word ends and without a decoder is asked for")  # its words are cut as WORDS says
         ids: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         symbols = byte_symbols()
         self.path = path
-        self.token = {i: t for t, i in ids.items()} | {a["id"]: a["content"] for a in added}
         self.inner = [ids.get(s) for s in symbols]
         self.last = [ids.get(s + suffix) for s in symbols]
         self.special = {a["content"]: np.array([a["id"]], "<u4").tobytes() for a in added}
@@ -164,6 +163,17 @@ class Codec:
                 out.extend(map(self._of, self.fragments(self.words(block))))
         return b"".join(out)
 
+
+class Decoder:
+    """The tokens of one vocabulary file by id."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec.get("decoder") is not None:
+            raise ValueError("a file without a decoder is asked for")
+        self.token = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec.get("added_tokens") or []}
+
     def decode(self, ids: bytes) -> str:
         """The tokens of the ids with one space between them; ids that name no token give nothing."""
         return " ".join([t for t in map(self.token.get, np.frombuffer(ids, "<u4").tolist()) if t is not None])
@@ -178,11 +188,16 @@ def _blocks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(text: Column, path: str) -> Column:
     """The token ids of each text, packed as little-endian unsigned 32-bit integers; no ids for NULL or an empty text.
 
@@ -190,11 +205,11 @@ def encode(text: Column, path: str) -> Column:
     influence each other: repeated rows give equal results, and other columns are not looked at.
     """
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = codec(path)
         for texts in batches:
-            yield pd.Series([of.encode(t) if t else b"" for t in texts], dtype=object)
+            yield pa.array((of.encode(t.as_py() or "") for t in texts), pa.binary())
 
     return run(text)
 
@@ -202,11 +217,11 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """The text of packed ids: their tokens with one space between them; empty for NULL or no ids."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = codec(path)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = decoder(path)
         for packed in batches:
-            yield pd.Series([of.decode(p) if p else "" for p in packed], dtype=object)
+            yield pa.array((of.decode(p.as_py() or b"") for p in packed), pa.string())
 
     return run(ids)
 

@@ -67,7 +67,7 @@ def test_no_token_crosses_a_boundary_and_fragments_are_independent():
 def test_table_holds_every_pair_inside_tokens():
     codec = bpe.codec(PATH)
     for token, i in Tokenizer.from_file(PATH).get_vocab(with_added_tokens=False).items():
-        assert codec.token[i] == token
+        assert bpe.decoder(PATH).token[i] == token
     back = {s: b for b, s in enumerate(bpe.byte_symbols())}
     for token in ("ing</w>", "str", "!!!</w>"):
         raw = bytes(back[c] for c in token.removesuffix("</w>")) + b"\n" * token.endswith("</w>")
