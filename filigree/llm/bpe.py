@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 _END = b"\n"  # ends a word; white space is never inside one
 _BLOCK = 1 << 20
-_HELD = 1 << 17
+_HELD = 1 << 18
 _HELD_BYTES = 32
 _FIRST_YOUNG = 0x0530  # no character below is younger than Unicode 15
 # How the vocabulary cuts normalised text into words.
@@ -226,5 +226,18 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
+def encode_and_decode(text: Column, path: str) -> Column:
+    """``ids`` as of ``encode`` and ``decoded`` as of ``decode``, in one pass of one Python worker."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        there, back = codec(path), decoder(path)
+        for texts in batches:
+            ids = pa.array((there.encode(t.as_py() or "") for t in texts), pa.binary())
+            yield pa.StructArray.from_arrays([ids, pa.array((back.decode(p.as_py()) for p in ids), pa.string())], ["ids", "decoded"])
+
+    return run(text)
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

@@ -103,8 +103,8 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    return ids.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path).cast("binary"), 256).alias("decoded_sha256"))
+    got = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_and_decode(F.col("text"), path).alias("b"))
+    return got.select("doc_id", bpe.n_tokens(F.col("b.ids")).alias("n_tokens"), F.sha2("b.ids", 256).alias("ids_sha256"), F.sha2(F.col("b.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

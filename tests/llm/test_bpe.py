@@ -35,11 +35,13 @@ def test_columns_equal_the_library(spark, library):
     texts = _texts()
     want = library.encode_batch(texts, add_special_tokens=False)
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)] + [(-1, None, "clash"), (0, texts[0], "again")], "id long, text string, ids string").repartition(5)
-    got = df.select("id", bpe.encode(F.col("text"), PATH).alias("packed")).select("id", "packed", bpe.n_tokens(F.col("packed")).alias("n"), bpe.decode(F.col("packed"), PATH).alias("back")).collect()
+    both = df.select("id", bpe.encode(F.col("text"), PATH).alias("packed"), bpe.encode_and_decode(F.col("text"), PATH).alias("b"))
+    got = both.select("id", "packed", "b", bpe.n_tokens(F.col("packed")).alias("n"), bpe.decode(F.col("packed"), PATH).alias("back")).collect()
     assert len(got) == len(texts) + 2
     for r in got:
         ids = want[r["id"]].ids if r["id"] >= 0 else []
         assert np.frombuffer(bytes(r["packed"]), "<u4").tolist() == ids, texts[r["id"]][:80]
+        assert (r["b"]["ids"], r["b"]["decoded"]) == (r["packed"], r["back"])
         assert r["n"] == len(ids)
         assert r["back"] == library.decode(ids, skip_special_tokens=False)
 
