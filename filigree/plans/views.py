@@ -14,6 +14,8 @@ from ..sources.staging import stage
 from ..sources.tables import Tables
 
 AS_OF = "2001-08-02"
+#: The quarter that the orders have reached: its year has year-to-date figures up to it and no annual ones yet.
+LAST_YEAR, LAST_QUARTER = 2001, 3
 MEASURES = ("rev", "gross", "opinc", "ni", "cfo", "capex", "ltd", "cpltd", "cash")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -25,7 +27,8 @@ _FACTS = (
     ("GrossProfit", "gross / 100.0D"),
     ("OperatingIncomeLoss", "opinc / 100.0D"),
     ("NetIncomeLoss", "ni / 100.0D"),
-    ("WeightedAverageNumberOfDilutedSharesOutstanding", "shares", "shares"),
+    ("Revenues", "IF(annual AND own AND seg = 0, revenue * 1.02D, NULL)", "USD", "us-gaap", "duration", "-A"),
+    ("WeightedAverageNumberOfDilutedSharesOutstanding", "IF(seg = 2 AND NOT annual, NULL, shares)", "shares"),
     ("EarningsPerShareDiluted", "ni / 100.0D / shares", "USD/shares"),
     ("NetCashProvidedByUsedInOperatingActivities", "cfo / 100.0D"),
     ("PaymentsToAcquirePropertyPlantAndEquipment", "capex / 100.0D"),
@@ -69,7 +72,7 @@ class Inputs:
             "o_custkey AS custkey", "year(o_orderdate) AS y", "quarter(o_orderdate) AS q", "o_orderstatus AS status",
             "CAST(round(o_totalprice * 100) AS bigint) AS rev", "substring(o_orderpriority, 1, 1) AS prio",
         ).selectExpr(
-            "custkey", "y", "explode(sequence(q, 4)) AS k", "rev", "IF(prio IN ('1', '2'), rev, 0) AS gross",
+            "custkey", "y", f"explode(sequence(q, IF(y = {LAST_YEAR}, {LAST_QUARTER}, 4))) AS k", "rev", "IF(prio IN ('1', '2'), rev, 0) AS gross",
             "IF(prio = '1', rev, 0) AS opinc", "CASE status WHEN 'F' THEN rev WHEN 'O' THEN -rev ELSE 0 END AS ni",
             "IF(status IN ('F', 'P'), rev, 0) AS cfo", "IF(prio = '5', rev, NULL) AS capex",
             "IF(prio = '3', rev, NULL) AS ltd", "IF(prio = '4', rev, NULL) AS cpltd", "IF(status = 'P', rev, NULL) AS cash",
@@ -106,7 +109,7 @@ class Inputs:
             "k = 4 AS annual",
             "fy = y AS own",
             "IF(seg = 4 AND fy >= 2001, 10000.0D, 1000.0D) AS shares",
-            "CASE WHEN k = 4 AND fy <> y AND seg = 3 THEN CAST(round(rev * 0.97D) AS bigint) / 100.0D ELSE rev / 100.0D END AS revenue",
+            "CASE WHEN k >= 3 AND fy <> y AND seg = 3 THEN CAST(round(rev * 0.97D) AS bigint) / 100.0D ELSE rev / 100.0D END AS revenue",
             "last_day(make_date(y, k * 3, 1)) AS period_end",
             "IF(k = 4, make_date(fy + 1, 2, 15), date_add(last_day(make_date(fy, k * 3, 1)), 40)) AS filed_date",
             "concat(cik, '-', lpad(CAST(fy % 100 AS string), 2, '0'), '-00000', CAST(k AS string)) AS accession",
@@ -298,7 +301,7 @@ def _instant_sql(concept, value):
     return _fact_sql(concept, f"CASE WHEN k IN (2,4) THEN {value} END", start="NULL")
 
 
-_REV = "(CASE WHEN k = 4 AND fy <> y AND seg = 3 THEN CAST(round(rev * 0.97::DOUBLE) AS BIGINT)/100.0::DOUBLE ELSE rev/100.0::DOUBLE END)"
+_REV = "(CASE WHEN k >= 3 AND fy <> y AND seg = 3 THEN CAST(round(rev * 0.97::DOUBLE) AS BIGINT)/100.0::DOUBLE ELSE rev/100.0::DOUBLE END)"
 _SH = "(CASE WHEN seg = 4 AND fy >= 2001 THEN 10000.0::DOUBLE ELSE 1000.0::DOUBLE END)"
 
 
@@ -323,7 +326,8 @@ _FACT_ROWS = ",\n".join(
         _fact_sql("GrossProfit", _c("gross")),
         _fact_sql("OperatingIncomeLoss", _c("opinc")),
         _fact_sql("NetIncomeLoss", _c("ni")),
-        _fact_sql("WeightedAverageNumberOfDilutedSharesOutstanding", _SH, "shares"),
+        _fact_sql("Revenues", f"CASE WHEN k = 4 AND fy = y AND seg = 0 THEN {_REV} * 1.02::DOUBLE END", suffix="-A"),
+        _fact_sql("WeightedAverageNumberOfDilutedSharesOutstanding", f"CASE WHEN seg <> 2 OR k = 4 THEN {_SH} END", "shares"),
         _fact_sql("EarningsPerShareDiluted", f"{_c('ni')} / {_SH}", "USD/shares"),
         _fact_sql("NetCashProvidedByUsedInOperatingActivities", _c("cfo")),
         _fact_sql("PaymentsToAcquirePropertyPlantAndEquipment", _c("capex")),
@@ -345,7 +349,7 @@ v_order AS (
   SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, substr(o_orderpriority, 1, 1) AS prio FROM orders),
 v_sums AS (
   SELECT custkey, y, k, {_SUMS} FROM (
-    SELECT o_custkey AS custkey, year(o_orderdate) AS y, unnest(generate_series(quarter(o_orderdate), 4)) AS k,
+    SELECT o_custkey AS custkey, year(o_orderdate) AS y, unnest(generate_series(quarter(o_orderdate), CASE WHEN year(o_orderdate) = {LAST_YEAR} THEN {LAST_QUARTER} ELSE 4 END)) AS k,
       cents AS rev, CASE WHEN prio IN ('1','2') THEN cents ELSE 0 END AS gross,
       CASE WHEN prio = '1' THEN cents ELSE 0 END AS opinc,
       CASE o_orderstatus WHEN 'F' THEN cents WHEN 'O' THEN -cents ELSE 0 END AS ni,

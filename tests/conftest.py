@@ -1,11 +1,12 @@
-import datetime as dt
 import pathlib
 import sys
 
 import pytest
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(pathlib.Path(__file__).resolve().parents[k]) for k in (1, 0)]
+
+from helpers import d  # noqa: E402
 
 from filigree.sources.tables import SCHEMAS  # noqa: E402
 
@@ -27,10 +28,6 @@ def spark():
     s.stop()
 
 
-def d(text):
-    return None if text is None else dt.date.fromisoformat(text)
-
-
 @pytest.fixture
 def facts(spark):
     """Builds a fact table from (concept, value, start, end, filed, accession) tuples."""
@@ -57,16 +54,3 @@ def table(spark):
         return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], SCHEMAS[name])
 
     return build
-
-
-def one(df):
-    rows = df.collect()
-    assert len(rows) == 1, rows
-    return rows[0]
-
-
-def as_dict(df, key):
-    return {r[key]: r.asDict(recursive=True) for r in df.collect()}
-
-
-__all__ = ["Row", "as_dict", "d", "one"]

@@ -6,7 +6,7 @@ import json
 import random
 
 import pytest
-from conftest import as_dict, d, one
+from helpers import as_dict, d, one
 from pyspark.sql import functions as F
 
 from filigree.cell import ok

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_dict, d, one
+from helpers import as_dict, d, one
 
 from filigree import api
 from filigree.operators import bars as B

@@ -1,7 +1,7 @@
 """Line selection, same-filing pairs and trailing twelve months on hand-made facts."""
 
 import pytest
-from conftest import as_dict, one
+from helpers import as_dict, one
 from pyspark.sql import functions as F
 
 from filigree.operators import facts as X
