@@ -28,6 +28,7 @@ from ..sources import documents as DOC
 from ..sources import provenance as PV
 from ..sources import staging as ST
 from ..sources import tables as TB
+from ..sources.keyed_table import COUNTS, KeyedTable
 from ..streaming import jobs as J
 from . import oracle as O
 from . import snapshot as S
@@ -766,6 +767,7 @@ def fallback_choice(i: Inputs) -> DataFrame:
 
 # --- writes ----------------------------------------------------------------------------------------------------------
 
+STREAM_BUCKETS = 16
 BATCH_KEYS = ["l_orderkey", "l_linenumber"]
 BATCH_ARRIVAL = ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 BATCH_COLUMNS = [
@@ -1568,10 +1570,34 @@ def stream_upsert(i: Inputs) -> DataFrame:
     schema = source.schema.simpleString()[len("struct<") : -1]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.select(*BATCH_COLUMNS).schema.fields)
-    path, state = ST.stream_folder(i.spark, "upsert"), ST.stream_folder(i.spark, "upsert-state")
+    table = KeyedTable(i.spark, ST.stream_folder(i.spark, "upsert"), kept, tuple(BATCH_KEYS), STREAM_BUCKETS)
     stream = J.read_stream(i.spark, i.dir, schema, name_glob="lineitem.parquet").select(*BATCH_COLUMNS)
-    J.upsert_stream(stream, path, kept, BATCH_KEYS, BATCH_COLUMNS, BATCH_ARRIVAL, state).awaitTermination()
-    return U.read_version(i.spark, path, kept).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    J.upsert_stream(stream, table, BATCH_ARRIVAL, ST.stream_folder(i.spark, "upsert-state")).awaitTermination()
+    return table.read().select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+_DEAL = 3
+_ACCOUNT_SQL = f"""
+  WITH c AS (SELECT l_suppkey % {_DEAL} AS batch, l_orderkey AS o, l_linenumber AS l, count(*) AS times,
+      last(({', '.join(BATCH_COLUMNS[2:])}) ORDER BY {_ARR}) AS row FROM lineitem GROUP BY ALL),
+  s AS (SELECT *, lag(row) OVER (PARTITION BY o, l ORDER BY batch) AS old FROM c)
+  SELECT batch, count(*) FILTER (old IS NULL) AS inserted, count(*) FILTER (old IS NOT NULL AND old IS DISTINCT FROM row) AS updated,
+    count(*) FILTER (old IS NOT DISTINCT FROM row) AS unchanged, CAST(sum(times - 1) AS BIGINT) AS duplicates FROM s GROUP BY batch"""
+
+
+@query("stream_upsert_counts", _ACCOUNT_SQL)
+def stream_upsert_counts(i: Inputs) -> DataFrame:
+    """What each micro-batch of line items inserted, updated and left alone, as the writes counted it."""
+    source = i.table("lineitem").select(*BATCH_COLUMNS)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
+    table = KeyedTable(i.spark, ST.stream_folder(i.spark, "counted"), schema, tuple(BATCH_KEYS), STREAM_BUCKETS)
+    zone, state = ST.stream_folder(i.spark, "zone"), ST.stream_folder(i.spark, "counted-state")
+    told = []
+    for part in range(_DEAL):
+        source.where(F.col("l_suppkey") % _DEAL == part).write.mode("append").parquet(zone)
+        J.upsert_stream(J.read_stream(i.spark, zone, schema), table, BATCH_ARRIVAL, state).awaitTermination()
+        told.append((part, *(table.last()[1][c] for c in COUNTS)))
+    return i.spark.createDataFrame(told, f"batch bigint, {', '.join(f'{c} bigint' for c in COUNTS)}")
 
 
 @query("stream_landing", O.compose(f"""
@@ -1590,8 +1616,37 @@ def stream_landing(i: Inputs) -> DataFrame:
 def stream_tick_bars(i: Inputs) -> DataFrame:
     """Events as ticks through a stream into daily bars."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in i.table("events").schema.fields)
-    path, state = ST.stream_folder(i.spark, "bars"), ST.stream_folder(i.spark, "bars-state")
     stream = J.read_stream(i.spark, i.dir, schema, name_glob="events.parquet")
-    ticks = stream.select(F.col("user_id").alias("security_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
-    J.bar_stream(ticks, path, state).awaitTermination()
-    return U.read_version(i.spark, path, J.BAR_SCHEMA).withColumn("trade_date", F.col("trade_date").cast("string"))
+    table = _bar_table(i)
+    J.bar_stream(_ticks(stream), table, ST.stream_folder(i.spark, "bars-state")).awaitTermination()
+    return table.read().select(*J.BAR_COLUMNS).withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
+def _bar_table(i: Inputs) -> KeyedTable:
+    return KeyedTable(i.spark, ST.stream_folder(i.spark, "bars"), J.BAR_SCHEMA, J.BAR_KEYS, STREAM_BUCKETS)
+
+
+def _ticks(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("security_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
+
+
+_LATE_SQL = f"""
+  WITH e AS (SELECT *, event_id % {_DEAL} AS batch FROM events),
+  b AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e GROUP BY batch),
+  j AS (SELECT e.*, ts IS NOT NULL AND newest IS NOT NULL AND date_trunc('day', ts) + INTERVAL 1 DAY <= newest - INTERVAL 20 DAY AS late FROM e JOIN b USING (batch))
+  SELECT user_id AS security_id, count(DISTINCT CAST(ts AS DATE)) FILTER (NOT late) AS bars, count(*) FILTER (NOT late) AS in_bars, count(*) FILTER (late) AS late,
+    CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) FILTER (late), 0) AS BIGINT) AS late_cents FROM j GROUP BY user_id"""
+
+
+@query("stream_late_ticks", _LATE_SQL)
+def stream_late_ticks(i: Inputs) -> DataFrame:
+    """Events that arrive in several batches: per listing the ticks in its bars, and those that came twenty days too late."""
+    source = _ticks(i.table("events"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
+    table, zone, state = _bar_table(i), ST.stream_folder(i.spark, "ticks"), ST.stream_folder(i.spark, "late-state")
+    for part in range(_DEAL):
+        source.where(F.col("seq") % _DEAL == part).write.mode("append").parquet(zone)
+        J.bar_stream(J.read_stream(i.spark, zone, schema), table, state, lateness="20 days").awaitTermination()
+    bars = table.read().groupBy("security_id").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("in_bars"))
+    late = J.late_ticks(table, schema).groupBy("security_id").agg(F.count(F.lit(1)).alias("late"), F.sum(F.round(F.col("price") * 100).cast("long")).alias("late_cents"))
+    return bars.join(late, "security_id", "full_outer").fillna(0)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import normalize_cik
-from ..operators.upsert import classify, latest_in_batch, merged, read_version, write_version
 from ..sources.documents import fact_points, parse_companyfacts, stored_facts
+from ..sources.keyed_table import KeyedTable
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, *, fmt: str = "parquet", name_glob: str | None = None) -> DataFrame:
@@ -45,26 +48,16 @@ def land_facts(documents: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def upsert_stream(
-    batches: DataFrame, path: str, schema: str, keys: list[str], columns: list[str], arrival: list[str], checkpoint: str
-) -> StreamingQuery:
-    """Upsert of every micro-batch into a versioned table.
+def upsert_stream(batches: DataFrame, table: KeyedTable, arrival: list[str], checkpoint: str) -> StreamingQuery:
+    """Upsert of every micro-batch into a bucketed table: only the buckets that a batch touches are read and written.
 
-    Batch n writes version n + 1 from the newest version before it, so a replayed batch
-    rebuilds the same version and changes nothing.
+    Batch n commits as number n, so a batch that is replayed after its commit changes nothing.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        stored = read_version(batch.sparkSession, path, schema, before=batch_id + 1)
-        unique = latest_in_batch(batch, keys, arrival, columns)
-        write_version(merged(classify(stored, unique, keys, columns), columns), path, batch_id + 1)
+        replace(table, spark=batch.sparkSession).upsert(batch, batch_id, arrival)
 
-    return (
-        batches.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tick_bars(ticks: DataFrame, *, lateness: str = "2 days") -> DataFrame:
@@ -84,25 +77,69 @@ def tick_bars(ticks: DataFrame, *, lateness: str = "2 days") -> DataFrame:
     )
 
 
-BAR_SCHEMA = "security_id bigint, trade_date date, open double, high double, low double, close double, volume bigint"
+_TICK_ENDS = "first_ts timestamp, first_seq bigint, last_ts timestamp, last_seq bigint"
 BAR_COLUMNS = ["security_id", "trade_date", "open", "high", "low", "close", "volume"]
+BAR_SCHEMA = f"security_id bigint, trade_date date, open double, high double, low double, close double, volume bigint, {_TICK_ENDS}"
+BAR_KEYS = ("security_id", "trade_date")
+LATE, NO_TIME = "LATE", "NO_TIME"
 
 
-def bar_stream(ticks: DataFrame, path: str, checkpoint: str, *, lateness: str = "2 days") -> StreamingQuery:
-    """Tick bars kept in a versioned table: every changed bar replaces its earlier state."""
-    keys = ["security_id", "trade_date"]
+def partial_bars(ticks: DataFrame) -> DataFrame:
+    """Bars of some ticks, with the places of their first and last one: partial bars of a day can be merged in any order."""
+    order = F.struct("ts", "seq")
+    ends = ticks.groupBy("security_id", F.col("ts").cast("date").alias("trade_date")).agg(
+        F.min(F.struct("ts", "seq", "price")).alias("a"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by(F.struct("ts", "seq", "price"), order).alias("z"), F.count(F.lit(1)).alias("volume"),
+    )
+    return ends.select(
+        "security_id", "trade_date", F.col("a.price").alias("open"), "high", "low", F.col("z.price").alias("close"), "volume",
+        F.col("a.ts").alias("first_ts"), F.col("a.seq").alias("first_seq"), F.col("z.ts").alias("last_ts"), F.col("z.seq").alias("last_seq"),
+    )
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        stored = read_version(batch.sparkSession, path, BAR_SCHEMA, before=batch_id + 1)
-        write_version(
-            merged(classify(stored, batch.select(*BAR_COLUMNS), keys, BAR_COLUMNS), BAR_COLUMNS), path, batch_id + 1
-        )
 
-    return (
-        tick_bars(ticks, lateness=lateness)
-        .writeStream.outputMode("update")
-        .foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def merged_bar(old: Column, new: Column) -> Column:
+    """One bar of two partial ones of the same day."""
+    starts_old = F.struct(old["first_ts"], old["first_seq"]) <= F.struct(new["first_ts"], new["first_seq"])
+    ends_old = F.struct(old["last_ts"], old["last_seq"]) >= F.struct(new["last_ts"], new["last_seq"])
+    first = {c: F.when(starts_old, old[c]).otherwise(new[c]) for c in ("open", "first_ts", "first_seq")}
+    last = {c: F.when(ends_old, old[c]).otherwise(new[c]) for c in ("close", "last_ts", "last_seq")}
+    other = {"high": F.greatest(old["high"], new["high"]), "low": F.least(old["low"], new["low"]), "volume": old["volume"] + new["volume"]}
+    return F.struct(*[c.alias(n) for n, c in ({k: new[k] for k in BAR_KEYS} | first | last | other).items()])
+
+
+def late_folder(table: KeyedTable) -> str:
+    return f"{table.path}/late"
+
+
+def bar_stream(ticks: DataFrame, table: KeyedTable, checkpoint: str, *, lateness: str = "2 days") -> StreamingQuery:
+    """Tick bars kept in a bucketed table, and every tick that came too late for them beside it.
+
+    A tick is late if its day ended ``lateness`` before the newest tick of earlier batches. Late ticks, and ticks without a time, go to
+    ``late_folder`` with their reason, one folder a batch, so ticks = ticks in bars + ticks there. What has been seen is kept in the table's commits:
+    a replayed batch judges its ticks as it did before.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        here = replace(table, spark=spark)
+        if batch_id in here.commits():
+            return
+        note = here.last(before=batch_id)[2]
+        newest = json.loads(note)["newest"] if note else None
+        ended = F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")
+        late = F.lit(False) if newest is None else ended <= F.timestamp_micros(F.lit(newest)) - F.expr(f"INTERVAL {lateness}")
+        judged = batch.withColumn("reason", F.when(F.col("ts").isNull(), NO_TIME).when(late, LATE))
+        seen = Observation()
+        told = judged.observe(seen, F.max(F.unix_micros("ts")).alias("newest"), F.count(F.lit(1)).alias("ticks"), F.count("reason").alias("late"))
+        told.where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{late_folder(here)}/batch={batch_id}")
+        got = seen.get
+        top = max((n for n in (newest, got["newest"]) if n is not None), default=None)
+        note = json.dumps({"newest": top, "ticks": got["ticks"], "late": got["late"]})
+        here.upsert(partial_bars(judged.where("reason IS NULL")), batch_id, combine=merged_bar, note=note)
+
+    return ticks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_ticks(table: KeyedTable, schema: str) -> DataFrame:
+    """Ticks that no bar holds, with their reason and batch."""
+    return table.spark.read.schema(f"{schema}, reason string, batch bigint").parquet(late_folder(table))

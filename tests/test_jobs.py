@@ -19,6 +19,7 @@ from filigree.reference_data import CRITERIA, constant_frame
 from filigree.sources import documents as DOC
 from filigree.sources import provenance as PV
 from filigree.sources import tables as TB
+from filigree.sources.keyed_table import COUNTS, KeyedTable
 from filigree.streaming import jobs as J
 
 # --- screens ---------------------------------------------------------------------------------------------------------
@@ -364,40 +365,99 @@ def test_landing_stream_takes_each_file_once(spark, tmp_path):
     assert run() == 3
 
 
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet") if "bucket=" in str(f)}
+
+
 def test_upsert_stream_and_replayed_batch(spark, tmp_path):
     schema = "k int, x int, source_id int, a int"
-    kept = "k int, x int, source_id int"
-    folder, path, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    table = KeyedTable(spark, str(tmp_path / "table"), "k int, x int, source_id int", ("k",), buckets=4)
 
     def add(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
 
     def run(checkpoint):
-        J.upsert_stream(J.read_stream(spark, folder, schema), path, kept, ["k"], COLS, ["a"], checkpoint).awaitTermination()
-        return sorted(map(tuple, U.read_version(spark, path, kept).collect()))
+        J.upsert_stream(J.read_stream(spark, folder, schema), table, ["a"], checkpoint).awaitTermination()
+        return sorted(map(tuple, table.read().collect()))
 
+    assert table.read().collect() == []
     add([(1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 1, 3)])
     assert run(state) == [(1, 2, 1), (2, 1, 1)]
+    assert table.last()[1] == {"inserted": 2, "updated": 0, "unchanged": 0, "duplicates": 1}
     add([(2, 9, 2, 4), (3, 3, 2, 5), (1, 2, 2, 6)])
     assert run(state) == [(1, 2, 1), (2, 9, 2), (3, 3, 2)]
-    assert U.versions(spark, path) == [1, 2]
-    # a lost checkpoint replays everything as batch 0: the table ends up with the same content
-    assert [r[:2] for r in run(str(tmp_path / "state2"))] == [(1, 2), (2, 9), (3, 3)]
-
-
-def test_tick_bars_update_late_ticks(spark, tmp_path):
+    assert table.last()[1] == {"inserted": 1, "updated": 1, "unchanged": 1, "duplicates": 0}
+    assert table.commits() == [0, 1]
+    # a lost checkpoint replays everything as batch 0, which is committed: nothing changes
+    before = _files(tmp_path / "table")
+    assert run(str(tmp_path / "state2")) == [(1, 2, 1), (2, 9, 2), (3, 3, 2)]
+    assert _files(tmp_path / "table") == before
+
+
+def test_upsert_writes_touched_buckets_only_and_removes_old_files(spark, tmp_path):
+    schema = "k int, x int"
+    table = KeyedTable(spark, str(tmp_path), schema, ("k",), buckets=8)
+    frame = lambda *rows: spark.createDataFrame(rows, schema)
+    assert table.upsert(frame(*[(k, 0) for k in range(100)], (None, 0)), 0) == {"inserted": 101, "updated": 0, "unchanged": 0, "duplicates": 0}
+    first = _files(tmp_path)
+    assert len(first) == 8
+    own = frame((7, 1)).select(table._bucket()).first()[0]
+    assert table.upsert(frame((7, 1)), 1)["updated"] == 1
+    second = _files(tmp_path)
+    assert first.items() <= second.items()  # files of commit 0 stay as they were, for readers of it
+    assert {f.split("/")[2] for f in second.keys() - first.keys()} == {f"bucket={own}"}
+    written = table.last()[0]
+    assert [b for b, n in written.items() if n == 1] == [own]
+    assert table.upsert(frame((7, 1), (8, 0)), 2) == {"inserted": 0, "updated": 0, "unchanged": 2, "duplicates": 0}
+    assert table.last()[0] == written  # touched without a change: not replaced
+    third = _files(tmp_path)
+    assert len(third) == 8 and f"data/batch=0/bucket={own}" not in {f.rsplit("/", 1)[0] for f in third}
+    assert table.commits() == [1, 2]
+    assert table.upsert(frame(), 3) == dict.fromkeys(COUNTS, 0)
+    assert table.upsert(frame((None, 5)), 4)["updated"] == 1
+    got = {r.k: r.x for r in table.read().collect()}
+    assert got == {k: 0 for k in range(100)} | {7: 1, None: 5}
+
+
+def test_upsert_after_a_crash_between_files_and_commit(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), "k int, x int", ("k",), buckets=4)
+    frame = lambda *rows: spark.createDataFrame(rows, "k int, x int")
+    table.upsert(frame((1, 1), (2, 2)), 0)
+    # batch 1 wrote its files and was lost before the commit: readers do not see them, and the retry replaces them
+    frame((1, 99)).select(table._bucket(), "k", "x").write.partitionBy("bucket").parquet(str(tmp_path / "data" / "batch=1"))
+    assert sorted(map(tuple, table.read().collect())) == [(1, 1), (2, 2)]
+    assert table.upsert(frame((1, 7)), 1)["updated"] == 1
+    assert sorted(map(tuple, table.read().collect())) == [(1, 7), (2, 2)]
+
+
+def test_tick_bars_merge_and_late_ticks_go_aside(spark, tmp_path):
     schema = "security_id bigint, ts timestamp, price double, seq bigint"
-    folder, path, state = (str(tmp_path / n) for n in ("in", "bars", "state"))
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    table = KeyedTable(spark, str(tmp_path / "bars"), J.BAR_SCHEMA, J.BAR_KEYS, buckets=4)
     t0 = dt.datetime(2025, 1, 1, 10)
+    sent = 0
 
     def run(rows):
+        nonlocal sent
+        sent += len(rows)
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-        J.bar_stream(J.read_stream(spark, folder, schema), path, state).awaitTermination()
-        return {str(r.trade_date): (r.open, r.high, r.low, r.close, r.volume) for r in U.read_version(spark, path, J.BAR_SCHEMA).collect()}
-
-    assert run([(1, t0, 5.0, 1), (1, t0 + dt.timedelta(hours=1), 7.0, 2)]) == {"2025-01-01": (5.0, 7.0, 5.0, 7.0, 2)}
-    got = run([(1, t0 - dt.timedelta(hours=1), 4.0, 0), (1, t0 + dt.timedelta(days=1), 8.0, 3)])
-    assert got == {"2025-01-01": (4.0, 7.0, 4.0, 7.0, 3), "2025-01-02": (8.0, 8.0, 8.0, 8.0, 1)}
+        J.bar_stream(J.read_stream(spark, folder, schema), table, state, lateness="2 days").awaitTermination()
+        late = J.late_ticks(table, schema).collect()
+        bars = {str(r.trade_date): (r.open, r.high, r.low, r.close, r.volume) for r in table.read().collect()}
+        assert sum(b[-1] for b in bars.values()) + len(late) == sent
+        return bars, sorted((r.seq, r.reason, r.batch) for r in late)
+
+    assert run([(1, t0, 5.0, 1), (1, t0 + dt.timedelta(hours=1), 7.0, 2)]) == ({"2025-01-01": (5.0, 7.0, 5.0, 7.0, 2)}, [])
+    bars, late = run([(1, t0 - dt.timedelta(hours=1), 4.0, 0), (1, t0 + dt.timedelta(days=1), 8.0, 3), (1, None, 1.0, 9)])
+    assert bars == {"2025-01-01": (4.0, 7.0, 4.0, 7.0, 3), "2025-01-02": (8.0, 8.0, 8.0, 8.0, 1)}
+    assert late == [(9, "NO_TIME", 1)]
+    # the newest tick of earlier batches decides, so this batch's own newest tick makes nothing late
+    bars, late = run([(1, t0 + dt.timedelta(days=9), 9.0, 4), (1, t0 + dt.timedelta(hours=2), 6.0, 5)])
+    assert bars["2025-01-01"] == (4.0, 7.0, 4.0, 6.0, 4) and len(late) == 1
+    bars, late = run([(1, t0 + dt.timedelta(hours=3), 99.0, 6), (1, t0 + dt.timedelta(days=8), 2.0, 7)])
+    assert bars["2025-01-01"] == (4.0, 7.0, 4.0, 6.0, 4) and bars["2025-01-09"] == (2.0, 2.0, 2.0, 2.0, 1)
+    assert late == [(6, "LATE", 3), (9, "NO_TIME", 1)]
 
 
 def test_previous_keeps_null_keys_and_arrivals(spark):
