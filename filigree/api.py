@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,13 +77,13 @@ def universe(tables: Tables) -> DataFrame:
     return universe_overview(tables)
 
 
-def listing_views(tables: Tables, as_of, *, max_age_days=FR.MAX_PRICE_AGE_DAYS, point_in_time: bool = False) -> DataFrame:
-    """One row per listing, one cell column per metric.
+def listing_views(tables: Tables, as_of, *, max_age_days=FR.MAX_PRICE_AGE_DAYS, point_in_time: bool = False, metrics=None) -> DataFrame:
+    """One row per listing, one cell column per metric; ``metrics`` names the wanted ones, and only what they rest on is read.
 
     ``point_in_time`` hides filings, quotes and bars after ``as_of``; without it the newest
     stored facts and quotes are used whatever ``as_of`` is.
     """
-    return S.listing_views(tables, as_of, max_age_days=max_age_days, point_in_time=point_in_time)
+    return S.listing_views(tables, as_of, max_age_days=max_age_days, point_in_time=point_in_time, metrics=metrics)
 
 
 def metrics(tables: Tables, as_of, *, symbols: DataFrame | None = None, **options) -> DataFrame:
@@ -94,15 +96,13 @@ def metrics(tables: Tables, as_of, *, symbols: DataFrame | None = None, **option
     return long.withColumn("unit", F.try_element_at(EV.constant_map(units), F.col("metric")))
 
 
-def screen(tables: Tables, spec: dict | SC.Screen, as_of=None, **options) -> DataFrame:
-    """Status, counts and reasons per listing. A screen on prices alone never reads a fact."""
-    checked = spec if isinstance(spec, SC.Screen) else SC.parse_screen(spec)
-    day = checked.as_of or as_of
-    price_only = all(METRIC[c.metric][1] == "listing" and c.metric != "price_to_earnings" for c in checked.criteria)
-    if price_only and not options.get("point_in_time"):
-        views = S.price_views(tables, day, max_age_days=options.get("max_age_days", FR.MAX_PRICE_AGE_DAYS))
-    else:
-        views = listing_views(tables, day, **options)
+def screen(tables: Tables, spec: dict | str | SC.Screen, as_of=None, **options) -> DataFrame:
+    """Status, counts and reasons per listing. Only what the criteria rest on is read: a screen on prices alone never reads a fact.
+
+    ``spec`` is a checked screen, a dict or JSON text.
+    """
+    checked = spec if isinstance(spec, SC.Screen) else SC.parse_screen(json.loads(spec) if isinstance(spec, str) else spec)
+    views = S.listing_views(tables, checked.as_of or as_of, metrics=SC.metrics_of(checked), **options)
     return SC.run_screen(views, checked)
 
 

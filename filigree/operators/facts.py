@@ -196,8 +196,9 @@ def with_anchors(p: DataFrame) -> DataFrame:
     )
 
 
-def selected_lines(anchored: DataFrame) -> DataFrame:
+def selected_lines(anchored: DataFrame, lines=(*FLOW_LINES, *SHEET_LINES)) -> DataFrame:
     """Long (issuer, line) selections: flow lines at the fiscal-year end, instants at the balance-sheet date."""
+    anchored = anchored.where(F.col("line").isin(*lines))
     annual = F.col("line").isin(*FLOW_LINES) & (F.col("kind") == D.FISCAL_YEAR) & (F.col("period_end") == F.col("fy_end"))
     sheet = (
         F.col("line").isin(*SHEET_LINES) & (F.col("kind") == D.INSTANT) & (F.col("period_end") == F.col("sheet_end"))
@@ -216,10 +217,10 @@ def pivot_lines(long: DataFrame, lines, keys=("cik",), value: str = "sel", prefi
 # --- values of two years from one filing -------------------------------------------------------------------------
 
 
-def pair_anchors(anchored: DataFrame) -> DataFrame:
+def pair_anchors(anchored: DataFrame, lines=FLOW_LINES) -> DataFrame:
     """Per tag: the issuer's fiscal-year end and the latest annual end one year before it."""
     return (
-        anchored.where((F.col("kind") == D.FISCAL_YEAR) & F.col("line").isin(*FLOW_LINES) & F.col("fy_end").isNotNull())
+        anchored.where((F.col("kind") == D.FISCAL_YEAR) & F.col("line").isin(*lines) & F.col("fy_end").isNotNull())
         .groupBy("cik", "line", "tag", "fy_end")
         .agg(
             F.max(F.when(D.years_apart(F.col("fy_end"), F.col("period_end")), F.col("period_end"))).alias("prior_end"),

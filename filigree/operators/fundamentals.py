@@ -143,28 +143,32 @@ def leverage(sheets: DataFrame) -> DataFrame:
 # --- balance sheet at the latest date --------------------------------------------------------------------------------
 
 
-def balance_sheet(row: DataFrame) -> DataFrame:
-    """Total debt, net debt and debt to equity from the selections at ``sheet_end``."""
+BALANCE_METRICS = ("total_debt", "net_debt", "debt_to_equity")
+
+
+def balance_sheet(row: DataFrame, wanted=BALANCE_METRICS) -> DataFrame:
+    """Total debt, net debt and debt to equity from the selections at ``sheet_end``, as far as they are wanted."""
+    if not any(m in wanted for m in BALANCE_METRICS):
+        return row
     present = F.col("sheet_end").isNotNull()
     debt_conflict = F.coalesce(*[F.col(line)["problem"] for line in DEBT_LINES])
-    cash_conflict = F.coalesce(F.col("cash")["problem"], F.col("short_term_investments")["problem"]).isNotNull()
     out = row.withColumn(
         "total_debt",
         F.when(present & debt_conflict.isNotNull(), missing(F.concat(F.lit("DEBT_LINE_"), debt_conflict))).otherwise(
             M.total_debt(*[F.col(line)["value"] for line in DEBT_LINES], balance_sheet_present=present)
         ),
     )
-    debt = F.col("total_debt")
-    return out.withColumns(
-        {
-            "net_debt": F.when(cash_conflict, missing("CASH_TAG_CONFLICT")).otherwise(
-                M.net_debt(debt, F.col("cash")["value"], F.col("short_term_investments")["value"])
-            ),
-            "debt_to_equity": F.when(F.col("equity")["problem"].isNotNull(), missing("EQUITY_TAG_CONFLICT")).otherwise(
-                M.debt_to_equity(debt, F.col("equity")["value"])
-            ),
-        }
-    )
+    debt, made = F.col("total_debt"), {}
+    if "net_debt" in wanted:
+        cash_conflict = F.coalesce(F.col("cash")["problem"], F.col("short_term_investments")["problem"]).isNotNull()
+        made["net_debt"] = F.when(cash_conflict, missing("CASH_TAG_CONFLICT")).otherwise(
+            M.net_debt(debt, F.col("cash")["value"], F.col("short_term_investments")["value"])
+        )
+    if "debt_to_equity" in wanted:
+        made["debt_to_equity"] = F.when(F.col("equity")["problem"].isNotNull(), missing("EQUITY_TAG_CONFLICT")).otherwise(
+            M.debt_to_equity(debt, F.col("equity")["value"])
+        )
+    return out.withColumns(made)
 
 
 def shares_outstanding(end: Column, low: Column, high: Column, as_of) -> Column:
@@ -177,31 +181,42 @@ def shares_outstanding(end: Column, low: Column, high: Column, as_of) -> Column:
     )
 
 
-def annual_metrics(row: DataFrame) -> DataFrame:
-    """Margins, growth, cash flow and margin changes. ``row`` holds line selections and ``pair_<line>`` columns."""
+ANNUAL_METRICS = (
+    *MARGIN_LINES, "revenue_growth_yoy", "eps_growth_yoy", "fcf", "fcf_growth_yoy", *(f"{m}_change_yoy" for m in MARGIN_LINES),
+)
+
+
+def annual_metrics(row: DataFrame, wanted=ANNUAL_METRICS) -> DataFrame:
+    """Margins, growth, cash flow and margin changes, those that are wanted. ``row`` holds the line selections and ``pair_<line>`` columns that they need."""
     no_year = F.col("fy_end").isNull()
 
     def cell(expr: Column) -> Column:
         return F.when(no_year, missing(NO_YEAR)).otherwise(expr)
 
-    pair = {line: F.col(f"pair_{line}") for line in FLOW_LINES}
-    staged = {f"_problem_{line}": _comparable(pair[line]) for line in ("revenue", "diluted_eps")}
+    def pair(line: str) -> Column:
+        return F.col(f"pair_{line}")
+
+    def changes(name: str) -> bool:
+        return f"{name}_change_yoy" in wanted
+
+    staged = {}
+    if "revenue_growth_yoy" in wanted or any(map(changes, MARGIN_LINES)):
+        staged["_problem_revenue"] = _comparable(pair("revenue"))
+    if "eps_growth_yoy" in wanted:
+        staged["_problem_diluted_eps"] = _comparable(pair("diluted_eps"))
     for name, line in MARGIN_LINES.items():
-        for year in ("now", "prior"):
-            staged[f"_{name}_{year}"] = M.margin(pair[line][year]["value"], pair["revenue"][year]["value"])
-    row = row.withColumns(staged)
-    out = {name: cell(margins(F.col("revenue"), F.col(line))) for name, line in MARGIN_LINES.items()}
-    out["revenue_growth_yoy"] = cell(growth(pair["revenue"], F.col("_problem_revenue")))
-    out["eps_growth_yoy"] = cell(growth(pair["diluted_eps"], F.col("_problem_diluted_eps")))
-    out["fcf"] = cell(free_cash_flow(F.col("operating_cash_flow"), F.col("capex")))
-    out["fcf_growth_yoy"] = cell(fcf_growth(pair["operating_cash_flow"], pair["capex"]))
+        for year in ("now", "prior") if changes(name) else ():
+            staged[f"_{name}_{year}"] = M.margin(pair(line)[year]["value"], pair("revenue")[year]["value"])
+    out = {name: lambda line=line: margins(F.col("revenue"), F.col(line)) for name, line in MARGIN_LINES.items()}
+    out["revenue_growth_yoy"] = lambda: growth(pair("revenue"), F.col("_problem_revenue"))
+    out["eps_growth_yoy"] = lambda: growth(pair("diluted_eps"), F.col("_problem_diluted_eps"))
+    out["fcf"] = lambda: free_cash_flow(F.col("operating_cash_flow"), F.col("capex"))
+    out["fcf_growth_yoy"] = lambda: fcf_growth(pair("operating_cash_flow"), pair("capex"))
     for name, line in MARGIN_LINES.items():
-        out[f"{name}_change_yoy"] = cell(
-            margin_change(
-                pair[line], pair["revenue"], F.col("_problem_revenue"), F.col(f"_{name}_now"), F.col(f"_{name}_prior")
-            )
+        out[f"{name}_change_yoy"] = lambda name=name, line=line: margin_change(
+            pair(line), pair("revenue"), F.col("_problem_revenue"), F.col(f"_{name}_now"), F.col(f"_{name}_prior")
         )
-    return row.withColumns(out).drop(*staged)
+    return row.withColumns(staged).withColumns({name: cell(made()) for name, made in out.items() if name in wanted}).drop(*staged)
 
 
 LEVERAGE_METRICS = ("debt_to_equity_fy", "debt_to_equity_prior_fy", "debt_to_equity_change_yoy")

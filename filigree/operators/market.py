@@ -82,24 +82,25 @@ def ok_value(c: Column) -> Column:
     return F.when(c["state"] == OK, c["value"])
 
 
-def valuation_metrics(row: DataFrame, unavailable: Column) -> DataFrame:
-    """Both price-to-sales ratios. ``unavailable`` names why an issuer has no fundamentals (NULL: it has)."""
-    cap = F.col("issuer_market_cap")
-    gone = unavailable.isNotNull()
-    cap_flag = flag_array(F.when(cap["state"] != OK, F.concat(F.lit("MARKET_CAP:"), cap["reason"])))
-    by_year = (
-        F.when(gone, missing(unavailable, cap_flag))
-        .when(cap["state"] != OK, missing("MARKET_CAP_MISSING", cap_flag))
-        .otherwise(M.price_to_sales(cap["value"], F.col("revenue")["value"]))
-    )
-    return row.withColumns(
-        {
-            "price_to_sales": by_year,
-            "price_to_sales_ttm": F.when(gone, missing(unavailable)).otherwise(
-                M.price_to_sales(ok_value(cap), ok_value(F.col("revenue_ttm")))
-            ),
-        }
-    )
+VALUATION_METRICS = ("price_to_sales", "price_to_sales_ttm")
+
+
+def valuation_metrics(row: DataFrame, unavailable: Column, wanted=VALUATION_METRICS) -> DataFrame:
+    """Price-to-sales ratios, those that are wanted. ``unavailable`` names why an issuer has no fundamentals (NULL: it has)."""
+    gone, made = unavailable.isNotNull(), {}
+    if "price_to_sales" in wanted:
+        cap = F.col("issuer_market_cap")
+        cap_flag = flag_array(F.when(cap["state"] != OK, F.concat(F.lit("MARKET_CAP:"), cap["reason"])))
+        made["price_to_sales"] = (
+            F.when(gone, missing(unavailable, cap_flag))
+            .when(cap["state"] != OK, missing("MARKET_CAP_MISSING", cap_flag))
+            .otherwise(M.price_to_sales(cap["value"], F.col("revenue")["value"]))
+        )
+    if "price_to_sales_ttm" in wanted:
+        made["price_to_sales_ttm"] = F.when(gone, missing(unavailable)).otherwise(
+            M.price_to_sales(ok_value(F.col("issuer_market_cap")), ok_value(F.col("revenue_ttm")))
+        )
+    return row.withColumns(made)
 
 
 def year_high_difference(high: Column, provider_high: Column) -> Column:

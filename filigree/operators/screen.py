@@ -123,6 +123,11 @@ def parse_screen(spec: dict) -> Screen:
     )
 
 
+def metrics_of(screen: Screen) -> tuple[str, ...]:
+    """The metrics that a screen's criteria read, each once."""
+    return tuple(dict.fromkeys(c.metric for c in screen.criteria))
+
+
 # --- verdicts ------------------------------------------------------------------------------------------------------
 
 

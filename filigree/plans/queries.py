@@ -30,8 +30,10 @@ from ..sources import staging as ST
 from ..sources import tables as TB
 from ..sources.keyed_table import COUNTS, KeyedTable
 from ..streaming import jobs as J
+from . import needs as N
 from . import oracle as O
 from . import snapshot as S
+from .needs import Needs
 from .views import AS_OF, Inputs
 
 Build = Callable[[Inputs], DataFrame]
@@ -239,12 +241,13 @@ def accepted_bars(i: Inputs) -> DataFrame:
 # --- facts ---------------------------------------------------------------------------------------------------------
 
 
-def _periods(i: Inputs, *lines: str, reuse: bool = False) -> tuple[DataFrame, DataFrame]:
-    return S.statement_frames(i.facts(), lines=lines or None, reuse=reuse)
+def _periods(i: Inputs, *lines: str, reuse: bool = False, both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(line facts, anchored periods); ``both`` are read, so the facts are derived once and stored."""
+    return S.statement_frames(i.stored_facts() if both else i.facts(), lines=lines or None, reuse=reuse)
 
 
 def _pairs(i: Inputs, *lines: str) -> DataFrame:
-    lf, p = _periods(i, *lines)
+    lf, p = _periods(i, *lines, both=True)
     return X.annual_pairs(X.tag_pairs(lf, X.pair_anchors(p)))
 
 
@@ -314,7 +317,7 @@ def same_filing_pair(i: Inputs) -> DataFrame:
 
 def _annual(i: Inputs, *lines: str) -> DataFrame:
     """Wide issuer rows with line selections and pairs of the given flow lines."""
-    lf, p = _periods(i, *dict.fromkeys(("revenue", "net_income_to_common", *lines)), reuse=True)
+    lf, p = _periods(i, *dict.fromkeys(("revenue", "net_income_to_common", *lines)), reuse=True, both=True)
     anchors = p.groupBy("cik").agg(F.first("fy_end").alias("fy_end"), F.first("sheet_end").alias("sheet_end"))
     picked = X.pivot_lines(X.selected_lines(p), (*FLOW_LINES, *SHEET_LINES))
     pairs = X.annual_pairs(X.tag_pairs(lf, X.pair_anchors(p)))
@@ -330,6 +333,13 @@ def _cells(rows: DataFrame, names) -> DataFrame:
     return S.issuer_long(rows, names).select("cik", "metric", "state", "value", "reason", F.concat_ws(",", "flags").alias("flags"))
 
 
+def _made(i: Inputs, names) -> DataFrame:
+    """Metrics of every issuer that reports their lines, from those lines alone."""
+    needs = Needs.of(names)
+    facts = i.stored_facts() if needs.lines(N.PAIR) else i.facts()
+    return _cells(S.issuer_fundamentals(facts, None, AS_OF, needs=needs), names)
+
+
 GROWTH = ("revenue_growth_yoy", "eps_growth_yoy")
 MARGINS = ("gross_margin", "operating_margin", "net_margin")
 CHANGES = ("gross_margin_change_yoy", "operating_margin_change_yoy", "net_margin_change_yoy")
@@ -338,22 +348,22 @@ CASH = ("fcf", "fcf_growth_yoy")
 
 @query("growth", _annual_sql(GROWTH))
 def growth(i: Inputs) -> DataFrame:
-    return _cells(FD.annual_metrics(_annual(i, "diluted_eps")), GROWTH)
+    return _made(i, GROWTH)
 
 
 @query("margins", _annual_sql(MARGINS))
 def margins(i: Inputs) -> DataFrame:
-    return _cells(FD.annual_metrics(_annual(i, "gross_profit", "operating_income")), MARGINS)
+    return _made(i, MARGINS)
 
 
 @query("margin_change", _annual_sql(CHANGES))
 def margin_change(i: Inputs) -> DataFrame:
-    return _cells(FD.annual_metrics(_annual(i, "gross_profit", "operating_income")), CHANGES)
+    return _made(i, CHANGES)
 
 
 @query("free_cash_flow", _annual_sql(CASH))
 def free_cash_flow(i: Inputs) -> DataFrame:
-    return _cells(FD.annual_metrics(_annual(i, "operating_cash_flow", "capex")), CASH)
+    return _made(i, CASH)
 
 
 @query("derived_gross_profit", O.compose(f"""
@@ -375,18 +385,15 @@ SHEET = ("total_debt", "net_debt", "debt_to_equity")
 
 @query("leverage_change", O.compose(O.long_select("lever", "cik", LEVERAGE), "lever"))
 def leverage_change(i: Inputs) -> DataFrame:
-    lf, p = _periods(i, "revenue", "net_income_to_common", *FD.DEBT_LINES, "equity")
+    lf, p = _periods(i, "revenue", "net_income_to_common", *FD.DEBT_LINES, "equity", both=True)
     pairs = X.annual_pairs(X.tag_pairs(lf, X.pair_anchors(p)))
     return _cells(FD.leverage(FD.filing_sheets(lf, pairs)), LEVERAGE)
 
 
 @query("balance_sheet", O.compose(O.long_select("sheet", "cik", SHEET), "sheet"))
 def balance_sheet(i: Inputs) -> DataFrame:
-    _, p = _periods(i, *SHEET_LINES, reuse=True)
-    anchors = p.groupBy("cik").agg(F.first("sheet_end").alias("sheet_end"))
-    picked = X.pivot_lines(X.selected_lines(p), SHEET_LINES)
-    rows = FD.balance_sheet(anchors.join(picked, "cik", "left"))
-    return _cells(rows, SHEET)
+    facts = i.stored_facts()
+    return _cells(S.issuer_fundamentals(facts, facts.select("cik").distinct(), AS_OF, needs=Needs.of(SHEET)), SHEET)
 
 
 @query("shares_outstanding", O.compose(f"SELECT cik, {O.parts('c')} FROM (SELECT cik, {O.SHARES} AS c FROM shares)", "shares"))
@@ -485,12 +492,13 @@ def issuer_market_cap(i: Inputs) -> DataFrame:
 
 @query("price_to_sales", O.compose(O.long_select("issuer_all", "cik", ("price_to_sales", "price_to_sales_ttm")), "issuer"))
 def price_to_sales(i: Inputs) -> DataFrame:
-    return _cells(S.issuer_metrics(i.tables(), AS_OF), ("price_to_sales", "price_to_sales_ttm"))
+    names = ("price_to_sales", "price_to_sales_ttm")
+    return _cells(S.issuer_metrics(i.tables(), AS_OF, needs=Needs.of(names)), names)
 
 
 @query("price_to_earnings", O.compose(f"SELECT ticker, cik, {O.parts('price_to_earnings')} FROM view_raw", "view"))
 def price_to_earnings(i: Inputs) -> DataFrame:
-    v = S.listing_views(i.tables(), AS_OF, max_age_days=None)
+    v = S.listing_views(i.tables(), AS_OF, max_age_days=None, metrics=["price_to_earnings"])
     return v.select("ticker", "cik", *unpack(F.col("price_to_earnings")))
 
 
@@ -501,7 +509,7 @@ def price_to_earnings(i: Inputs) -> DataFrame:
       WHEN shares_outstanding.state <> 'OK' THEN 'SHARES_UNRELIABLE:' || shares_outstanding.reason
       WHEN last_close IS NULL THEN 'NO_CLOSE' END AS reason FROM view_raw WHERE security_id = primary_security_id)""", "view"))
 def market_cap_check(i: Inputs) -> DataFrame:
-    v = S.listing_views(i.tables(), AS_OF, max_age_days=None)
+    v = S.listing_views(i.tables(), AS_OF, max_age_days=None, metrics=["cap_check"])
     return v.where(F.col("cap_check").isNotNull()).select("cik", "cap_check.*")
 
 
@@ -573,7 +581,7 @@ _GROWTH_SQL = _roll_up_sql("view", _GROWTH_CRITERIA, _NASDAQ)
 
 @query("screen", O.compose(_GROWTH_SQL, "view"))
 def screen(i: Inputs) -> DataFrame:
-    return SC.run_screen(S.listing_views(i.tables(), AS_OF), SCREEN_GROWTH)
+    return SC.run_screen(S.listing_views(i.tables(), AS_OF, metrics=SC.metrics_of(SCREEN_GROWTH)), SCREEN_GROWTH)
 
 
 @query("screen_counts", O.compose(f"""

@@ -122,6 +122,10 @@ class Inputs:
             "filed_date", "concat(accession, suffix) AS accession_no",
         )
 
+    def stored_facts(self) -> DataFrame:
+        """The facts as a written table, for plans that read them in several branches."""
+        return stage(self.facts())
+
     # --- bars ----------------------------------------------------------------------------------------------------
 
     def raw_bars(self) -> DataFrame:

@@ -9,7 +9,9 @@ from filigree import api
 from filigree.operators import bars as B
 from filigree.operators import market as MK
 from filigree.operators import quality as Q
+from filigree.plans import needs as N
 from filigree.plans import snapshot as S
+from filigree.reference_data import METRIC
 from filigree.sources.tables import Tables
 
 AS_OF = "2025-06-30"
@@ -178,3 +180,39 @@ def test_no_python_in_the_plan(table, facts):
     plan = S.long_metrics(S.listing_views(tables(table, facts), AS_OF, reuse=False))._jdf.queryExecution().executedPlan().toString()
     for word in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in plan
+
+
+def test_views_of_some_metrics_equal_the_full_ones(spark, table, facts):
+    """Whatever is asked for, alone or together, is what the whole snapshot says."""
+    t = tables(table, facts)
+    names = [*N.Needs.all().metrics()]
+    singles = ("price_to_earnings", "cap_check", "debt_to_equity_change_yoy")
+    for age, groups in ((None, [[n] for n in singles]), (7, [names[::3], names[1::3], names[2::3]])):
+        full = as_dict(api.listing_views(t, AS_OF, max_age_days=age), "ticker")
+        for some in groups:
+            got = as_dict(api.listing_views(t, AS_OF, max_age_days=age, metrics=some), "ticker")
+            assert got.keys() == full.keys()
+            for ticker, row in got.items():
+                assert {m: row[m] for m in some} == {m: full[ticker][m] for m in some}, (age, some, ticker)
+
+
+def test_a_plan_holds_only_what_its_metrics_rest_on(spark, table, facts):
+    t = tables(table, facts)
+    plan = lambda *m: S.listing_views(t, AS_OF, reuse=False, metrics=m)._jdf.queryExecution().optimizedPlan().toString()
+    margin = plan("net_margin")
+    assert "NetIncomeLoss" in margin and "Revenues" in margin
+    for absent in ("GrossProfit", "LongTermDebt", "EarningsPerShareDiluted", "trade_date", "last_price", "EntityCommonStock"):
+        assert absent not in margin, absent
+    price = plan("drawdown_from_52w_high", "price_return_1y")
+    assert "trade_date" in price and "filed_date" not in price and "quote_date" not in price
+    cap = plan("issuer_market_cap")
+    assert "quote_date" in cap and "trade_date" not in cap and "filed_date" not in cap
+    eps = plan("price_to_earnings")
+    assert "EarningsPerShareDiluted" in eps and "WeightedAverage" in eps and "Revenues" not in eps and "quote_date" not in eps
+
+
+def test_every_metric_has_needs():
+    assert set(N.GRAPH) == {*METRIC, *N.CHECKS}
+    assert N.Needs.of(["price_to_sales_ttm"]).metrics() == ("revenue_ttm", "issuer_market_cap", "price_to_sales_ttm")
+    with pytest.raises(ValueError, match="no_such"):
+        N.Needs.of(["no_such"])
