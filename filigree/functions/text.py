@@ -104,6 +104,17 @@ def content_hash(raw: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(raw.cast("string"), 256))
 
 
+def canonical_json(raw: Column) -> Column:
+    """JSON text with sorted keys and no white space between tokens; NULL where the text is no JSON."""
+    # an object in a VARIANT keeps its fields in order of their names
+    return F.to_json(F.try_parse_json(raw))
+
+
+def canonical_hash(raw: Column) -> Column:
+    """Hash of a payload's content: key order and white space do not count. A text that is no JSON is hashed as received."""
+    return content_hash(F.coalesce(canonical_json(raw), raw))
+
+
 def item_id(section: Column, ticker: Column, *parts: Column) -> Column:
     joined = F.concat_ws("|", section, ticker, *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
     return F.concat_ws(":", section, ticker, F.substring(F.sha2(joined, 256), 1, 12))

@@ -61,6 +61,21 @@ def latest_known(lf: DataFrame, keys=None) -> DataFrame:
     )
 
 
+def vintages(lf: DataFrame) -> DataFrame:
+    """The history of what was known of each period: one row per filing day, valid from it until the next one (NULL: still)."""
+    by_day = lf.groupBy(*PERIOD_KEY, "filed").agg(F.max(F.struct("accession", "value", "form")).alias("v"))
+    # a period has as many vintages as days on which it was filed
+    until = F.lead("filed").over(Window.partitionBy("cik", "tag", "period_start", "period_end").orderBy("filed"))
+    return by_day.select(*PERIOD_KEY, F.col("filed").alias("valid_from"), until.alias("valid_to"), "v.accession", "v.value", "v.form")
+
+
+def known_at(history: DataFrame, dates) -> DataFrame:
+    """What was known at each of some dates: a vintage is copied to the dates in its interval, so any number of dates costs one plan and no join."""
+    days = F.array(*[F.lit(str(d)).cast("date") for d in dates])
+    inside = F.filter(days, lambda d: (d >= F.col("valid_from")) & (F.col("valid_to").isNull() | (d < F.col("valid_to"))))
+    return history.select(F.explode(F.array_distinct(inside)).alias("as_of"), *[c for c in history.columns if c != "valid_to"])
+
+
 def periods(lf: DataFrame) -> DataFrame:
     """One row per distinct period of a tag: its latest vintage and the range of values ever reported."""
     lines = concept_frame(lf.sparkSession).select("line", "tag", "priority")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..cell import MISSING_INPUT, OK
 from ..functions.text import CLASS_SUFFIX, unknown_if_na
-from ..reference_data import METRIC
+from ..reference_data import METRIC, constant_frame
 
 PASS, FAIL, UNEVALUABLE = "PASS", "FAIL", "UNEVALUABLE"
 MATCH, NO_MATCH = "MATCH", "NO_MATCH"
@@ -296,3 +296,62 @@ def counts(screened: DataFrame) -> DataFrame:
         ],
     )
 
+
+# --- many screens as a table ---------------------------------------------------------------------------------------
+
+_SPEC = "criteria ARRAY<STRUCT<metric STRING, op STRING, value DOUBLE, low DOUBLE, high DOUBLE, unit STRING>>"
+
+
+def criteria_table(specs: DataFrame) -> DataFrame:
+    """Criteria of screens given as JSON text (``screen``, ``spec``): one row per criterion, thresholds in the metric's stored unit.
+
+    ``problem`` says why a criterion cannot be used; a text without criteria is one row with a problem. The text may come from files.
+    """
+    parsed = specs.select("screen", F.from_json("spec", _SPEC)["criteria"].alias("criteria"))
+    rows = parsed.select("screen", F.size(F.coalesce("criteria", F.array())).alias("n"), F.posexplode_outer("criteria").alias("position", "c"))
+    units = constant_frame(specs.sparkSession, [(m, row[2] == "fraction") for m, row in METRIC.items()], "metric, fraction")
+    rows = rows.select("screen", "n", "position", "c.*").join(F.broadcast(units), "metric", "left")
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    between = F.col("op") == "between"
+    one, two = value.isNotNull() & low.isNull() & high.isNull(), value.isNull() & low.isNotNull() & high.isNotNull()
+    finite = [c.isNull() | (~F.isnan(c) & (F.abs(c) != float("inf"))) for c in (value, low, high)]
+    fits = F.when(F.col("fraction"), F.col("unit").isin("fraction", "percent")).otherwise(F.col("unit").isNull() | (F.col("unit") == "native"))
+    problem = (
+        F.when(F.col("n") == 0, "NO_CRITERIA")
+        .when(F.col("n") > MAX_CRITERIA, "TOO_MANY_CRITERIA")
+        .when(F.col("fraction").isNull(), "UNKNOWN_METRIC")
+        .when(F.col("op").isNull() | ~F.col("op").isin("between", *OP_SYMBOL), "UNKNOWN_OP")
+        .when(~F.when(between, two & (low <= high)).otherwise(one) | ~(finite[0] & finite[1] & finite[2]), "WRONG_THRESHOLDS")
+        .when(~F.coalesce(fits, F.lit(False)), "WRONG_UNIT")
+    )
+    factor = F.when(F.col("unit") == "percent", PERCENT).otherwise(1.0)
+    return rows.select("screen", "position", "metric", "op", *[(c * factor).alias(n) for n, c in (("value", value), ("low", low), ("high", high))], problem.alias("problem"))
+
+
+def refused(criteria: DataFrame) -> DataFrame:
+    """Screens that cannot be run, with their problems."""
+    return criteria.where("problem IS NOT NULL").groupBy("screen").agg(F.array_sort(F.collect_set("problem")).alias("problems"))
+
+
+def run_screens(long: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Status and counts per screen and listing, from metrics as rows (ticker, cik, security_id, metric, state, value).
+
+    A screen with a problem is refused as a whole. Metrics meet criteria by name, so a listing's row is only copied to the criteria that read it.
+    """
+    usable_ones = criteria.join(refused(criteria).select("screen"), "screen", "left_anti").drop("problem")
+    x, value = F.col("x"), F.col("value")
+    met = long.withColumnRenamed("value", "x").join(usable_ones, "metric")
+    holds = (
+        F.when(F.col("op") == "between", x.between(F.col("low"), F.col("high")))
+        .when(F.col("op") == "eq", F.abs(x - value) <= EQ_TOLERANCE * F.greatest(F.lit(1.0), F.abs(value)))
+        .when(F.col("op") == "gt", x > value)
+        .when(F.col("op") == "gte", x >= value)
+        .when(F.col("op") == "lt", x < value)
+        .when(F.col("op") == "lte", x <= value)
+    )
+    result = F.when(F.col("state").isNull() | (F.col("state") != OK), UNEVALUABLE).when(holds, PASS).otherwise(FAIL)
+    told = met.withColumn("result", result).groupBy("screen", "security_id", "ticker", "cik").agg(
+        *[F.count_if(F.col("result") == r).alias(n) for r, n in ((PASS, "criteria_passed"), (FAIL, "criteria_failed"), (UNEVALUABLE, "criteria_unevaluable"))]
+    )
+    status = F.when(F.col("criteria_failed") > 0, NO_MATCH).when(F.col("criteria_unevaluable") > 0, UNEVALUABLE).otherwise(MATCH)
+    return told.withColumn("status", status)

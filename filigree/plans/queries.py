@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from ..operators import quality as Q
 from ..operators import screen as SC
 from ..operators import ttm as TT
 from ..operators import upsert as U
-from ..reference_data import CORE_LINES, COVERAGE_LINES, FLOW_LINES, METRIC, SHEET_LINES, catalog_frame
+from ..reference_data import CORE_LINES, COVERAGE_LINES, FLOW_LINES, METRIC, SHEET_LINES, catalog_frame, constant_frame
 from ..sources import documents as DOC
 from ..sources import provenance as PV
 from ..sources import staging as ST
@@ -265,6 +266,19 @@ def latest_known_asof(i: Inputs) -> DataFrame:
     return X.latest_known(lf).select("cik", "line", "tag", "kind", day("period_start"), day("period_end"), "value", "accession")
 
 
+_DATES = ("1997-06-30", "1998-06-30", "1999-02-15", "2000-06-30", "2001-05-09")
+
+
+@query("metric_history", O.compose(f"""
+  SELECT CAST(d AS VARCHAR) AS as_of, cik, tag, CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end, value, accession
+  FROM lf, (SELECT unnest([{', '.join(f"DATE '{d}'" for d in _DATES)}]) AS d) WHERE line IN ('revenue', 'net_income_to_common') AND filed <= d
+  QUALIFY row_number() OVER (PARTITION BY d, cik, line, tag, period_start, period_end ORDER BY filed DESC, accession DESC) = 1""", "lf"))
+def metric_history(i: Inputs) -> DataFrame:
+    """What was known of every period at several dates, in one plan."""
+    history = X.vintages(X.line_facts(i.facts(), lines=("revenue", "net_income_to_common")))
+    return X.known_at(history, _DATES).select(day("as_of"), "cik", "tag", day("period_start"), day("period_end"), "value", "accession")
+
+
 @query("restated_periods", O.compose("""
   SELECT cik, tag, CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end, count(DISTINCT value) > 1 AS restated
   FROM lf WHERE line IN ('revenue', 'net_income_to_common') GROUP BY cik, tag, period_start, period_end HAVING count(DISTINCT value) > 1""", "lf"))
@@ -584,6 +598,49 @@ def screen(i: Inputs) -> DataFrame:
     return SC.run_screen(S.listing_views(i.tables(), AS_OF, metrics=SC.metrics_of(SCREEN_GROWTH)), SCREEN_GROWTH)
 
 
+_SCREENS = 50
+
+
+def _many_specs() -> list[tuple[str, str]]:
+    def criteria(n: int) -> list[dict]:
+        return [
+            {"metric": "drawdown_from_52w_high", "op": "lte", "value": -n, "unit": "percent"},
+            {"metric": "price_return_1y", "op": "gt", "value": n - 25, "unit": "percent"},
+            {"metric": "price_return_1m", "op": "between", "low": -n, "high": n, "unit": "percent"},
+            {"metric": "high_52w", "op": "gte", "value": 1000 * n},
+        ]
+
+    return [(f"s{n:02d}", json.dumps({"name": f"s{n:02d}", "criteria": criteria(n)[: 2 + n % 3]})) for n in range(_SCREENS)]
+
+
+_MANY_TESTS = (
+    ("drawdown_from_52w_high", "drawdown_from_52w_high.value <= -n * 0.01::DOUBLE"), ("price_return_1y", "price_return_1y.value > (n - 25) * 0.01::DOUBLE"),
+    ("price_return_1m", "price_return_1m.value BETWEEN -n * 0.01::DOUBLE AND n * 0.01::DOUBLE"), ("high_52w", "high_52w.value >= 1000 * n"),
+)
+_MANY_COUNT = "len(list_filter(r[:2 + n % 3], lambda x: x = '{}'))"
+
+
+@query("screens_at_once", O.compose(f"""
+  SELECT *, CASE WHEN criteria_failed > 0 THEN 'NO_MATCH' WHEN criteria_unevaluable > 0 THEN 'UNEVALUABLE' ELSE 'MATCH' END AS status FROM (
+    SELECT 's' || lpad(CAST(n AS VARCHAR), 2, '0') AS screen, security_id, ticker, cik, {_MANY_COUNT.format('PASS')} AS criteria_passed, {_MANY_COUNT.format('FAIL')} AS criteria_failed,
+      {_MANY_COUNT.format('UNEVALUABLE')} AS criteria_unevaluable
+    FROM (SELECT n, security_id, ticker, cik, [{', '.join(_criterion_sql(m, t) for m, t in _MANY_TESTS)}] AS r FROM price_view, range({_SCREENS}) t(n)))""", "price_view"))
+def screens_at_once(i: Inputs) -> DataFrame:
+    """Fifty screens from their JSON texts over all listings in one plan."""
+    views = S.price_views(TB.Tables(i.securities(), bars=i.bars()), AS_OF)
+    criteria = SC.criteria_table(constant_frame(i.spark, _many_specs(), "screen, spec"))
+    return SC.run_screens(S.long_metrics(views), criteria)
+
+
+@query("screen_order", O.compose(f"""
+  SELECT ticker, cik, security_id, status, row_number() OVER (ORDER BY ticker, cik, security_id) - 1 AS position FROM ({_roll_up_sql('price_view', _DRAWDOWN_CRITERIA)})""", "price_view"))
+def screen_order(i: Inputs) -> DataFrame:
+    """A screen written in order of ticker and issuer, and each row's place in the files."""
+    path = ST.stream_folder(i.spark, "ordered")
+    TB.write_ordered(drawdown_screen(i), path, "ticker", "cik", "security_id")
+    return TB.read_ordered(i.spark, path).select("ticker", "cik", "security_id", "status", "position")
+
+
 @query("screen_counts", O.compose(f"""
   SELECT count(*) AS screened, count(*) FILTER (status = 'MATCH') AS matches, count(*) FILTER (status = 'NO_MATCH') AS failed,
     count(*) FILTER (status = 'UNEVALUABLE') AS missing_data_exclusions FROM ({_roll_up_sql('price_view', _DRAWDOWN_CRITERIA)})""", "price_view"))
@@ -1519,6 +1576,18 @@ def quote_rows(i: Inputs) -> DataFrame:
     return DOC.quote_rows(raw).select("security_id", day("quote_date"), "last_price", "market_cap", "sector", "problem")
 
 
+_CANON = "concat_ws(',', '\"doc_id\":' || doc_id, '\"lang\":\"' || lang || '\"', '\"n_chars\":' || n_chars, '\"source\":\"' || source || '\"')"
+
+
+@query("canonical_hashes", f"SELECT doc_id, 'sha256:' || sha256('{{' || {_CANON} || '}}') AS content_hash, true AS order_free FROM documents")
+def canonical_hashes(i: Inputs) -> DataFrame:
+    """Hashes of JSON payloads that hold the same fields in two orders."""
+    names = ("doc_id", "lang", "n_chars", "source")
+    rows = i.table("documents").select("doc_id", F.to_json(F.struct(*names)).alias("a"), F.to_json(F.struct(*names[::-1]), {"pretty": "true"}).alias("b"))
+    mine = T.canonical_hash(F.col("a"))
+    return rows.select("doc_id", mine.alias("content_hash"), (mine == T.canonical_hash(F.col("b"))).alias("order_free"))
+
+
 @query("content_hashes", "SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, source AS provider FROM documents")
 def content_hashes(i: Inputs) -> DataFrame:
     """Landed payloads as source rows: the whole texts are hashed."""
