@@ -134,7 +134,7 @@ def test_language_features():
     x = language.features("Été " * 400_000)  # longer than a block
     assert abs(np.linalg.norm(x) - 1) < 1e-5
     assert np.allclose(x, language.features("été " * 400_000))
-    model = language.LanguageModel(np.zeros((0, language.SIZE), np.float32), [])
+    model = language.LanguageModel(language.Rows([], []), [])
     assert model.predict("text") == ("und", 0.0)
 
 

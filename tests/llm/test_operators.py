@@ -163,6 +163,32 @@ def test_language_of_odd_texts(spark):
     assert not language.fit(df.limit(0), F.lit(True)).trained
 
 
+def test_language_score_is_low_for_text_in_no_learned_language(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, F.lit(True))
+    key = lambda n: "".join(rng.choice("asdfghjklqwertyuiopzxcvbnm") for _ in range(n))
+    junk = [" ".join(key(rng.randrange(3, 9)) for _ in range(60)), " ".join(f"{rng.getrandbits(32):08x}" for _ in range(60)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300))]
+    junk += ["это текст на другом языке " * 10, "x" * 3000]
+    assert all(model.predict(j)[1] < corpus_pipeline.LEAST_LANGUAGE_SCORE for j in junk)
+    df = spark.createDataFrame([(k, j, None, None, len(j), 1, "x", "y", "z") for k, j in enumerate(junk)], SCHEMA)
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(df.select("doc_id", "text", "lang", "source", "n_chars"))
+    kept = corpus_pipeline.identify_language(spark, both, "")
+    lettered = docs.where(F.regexp_like("text", F.lit("\\p{L}")))
+    assert kept.count() == lettered.count() == lettered.join(kept, ["doc_id", "text"], "left_semi").count()
+
+
+def test_language_of_empty_long_and_repeated_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, F.lit(True))
+    text = docs.where("lang = 'fr'").first()["text"]
+    rows = [(1, text), (1, text), (2, text * 400), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("p", F.lit("clash"))
+    got = df.select("doc_id", language.predict(F.col("text"), model).alias("got")).collect()
+    assert {r.got.lang_pred for r in got} == {"fr"} and len({r.got.score for r in got if r.doc_id != 2}) == 1
+    assert df.limit(0).select(language.predict(F.col("text"), model)).collect() == []
+
+
 def test_language_model_base(spark, texts):
     import public_tokenizers
 
