@@ -1,6 +1,6 @@
 """Connected components of a link table, by star contraction.
 
-Links are first reduced to a spanning forest within each partition; then every node is hooked to its
+Links are first reduced to spanning forests of bounded parts; then every node is hooked to its
 smallest neighbour until nothing changes. All state is in written tables, so a lost executor costs
 a task, not the run. No list of neighbours is ever built: each step is a mergeable minimum and a join.
 """
@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.sources.staging import stage
 
+#: Links that one task joins in memory before the rounds over tables.
+FOREST = 1 << 19
+
 
 class Forest:
     """Union-find over arbitrary int64 ids; the root of a set is its smallest member."""
@@ -40,13 +43,23 @@ class Forest:
         return True
 
 
-def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    forest = Forest()
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of a task's links, about ``FOREST`` at a time."""
+    held: list[np.ndarray] = []
+
+    def spanning() -> pa.RecordBatch:
+        names, index = np.unique(np.concatenate(held), return_inverse=True)
+        label = unite(np.arange(len(names)), *index.reshape(-1, 2).T)
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_pydict({"a": pa.array(names[moved]), "b": pa.array(names[label[moved]])})
+
     for batch in batches:
-        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
-            forest.link(a, b)
-    nodes = list(forest.parent)
-    yield pd.DataFrame({"a": np.array(nodes, np.int64), "b": np.array([forest.find(n) for n in nodes], np.int64)})
+        held.append(np.stack([batch.column(k).to_numpy() for k in (0, 1)], 1))
+        if sum(map(len, held)) >= 2 * FOREST:
+            yield spanning()
+            held = []
+    if held:
+        yield spanning()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -61,8 +74,9 @@ def components(links: DataFrame) -> DataFrame:
     table; NULL ends, self-links and repeats are allowed and add nothing.
     """
     edges = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    # Tasks that looked at different parts of the same sets report the same links: each goes on once.
-    edges = stage(edges.distinct().mapInPandas(_forests, "a long, b long").where("a <> b"))
+    # Tasks that looked at different parts of the same sets report the same links: each goes on once, and what they say is joined in forests of bounded size.
+    edges = stage(edges.distinct())
+    edges = stage(edges.coalesce(-(-edges.count() // FOREST) or 1).mapInArrow(_forests, "a long, b long"))
     state = _state(edges)
     while state[0]:
         before = state
