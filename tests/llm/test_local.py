@@ -192,3 +192,28 @@ WRAPPED_PAGES = [
 @pytest.mark.parametrize("page,text", WRAPPED_PAGES)
 def test_main_text_in_wrappers(page, text):
     assert pages.main_text(page) == text
+
+
+def test_network_stays_finite_whatever_its_weights():
+    rng = np.random.default_rng(4)
+    net = attention_lm.Network.start(np.full(attention_lm.SLOTS, 1 / attention_lm.SLOTS))
+    x, y, scored = attention_lm.cut_windows(rng.integers(0, attention_lm.SLOTS, 200))
+    for scale in (1, 30, 1000):
+        big = attention_lm.Network((net.theta * scale).astype(np.float32))
+        assert np.isfinite(big.log_likelihood(x, y, scored)).all() and (big.log_likelihood(x, y, scored) <= 1e-3).all()
+        assert np.isfinite(big.gradient(x, y, scored)).all()
+        weights = big.states(x)[4] / big.states(x)[5]
+        assert np.allclose(weights.sum(2), 1, atol=1e-3) and (weights[:, np.triu(np.ones((attention_lm.WINDOW,) * 2, bool), 1)] == 0).all()
+
+
+def test_probabilities_of_the_next_slot_sum_to_one():
+    net = attention_lm.Network.start(np.random.default_rng(5).dirichlet(np.ones(attention_lm.SLOTS)))
+    net.theta += np.random.default_rng(6).normal(0, 0.5, len(net.theta)).astype(np.float32)
+    x, y, scored = attention_lm.cut_windows(np.arange(10))
+    x = np.repeat(x, attention_lm.SLOTS, 0)
+    y = np.repeat(y, attention_lm.SLOTS, 0)
+    at = np.zeros((1, attention_lm.WINDOW), bool)
+    at[0, 4] = True
+    y[:, 4] = np.arange(attention_lm.SLOTS)
+    total = np.exp(net.log_likelihood(x, y, np.repeat(at, len(x), 0)).astype(np.float64)).sum()
+    assert abs(total - 1) < 1e-3

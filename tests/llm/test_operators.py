@@ -189,6 +189,13 @@ def test_language_of_empty_long_and_repeated_rows(spark):
     assert df.limit(0).select(language.predict(F.col("text"), model)).collect() == []
 
 
+def test_language_model_scores_every_document(spark):
+    got = queries.op5_lm_score(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == 1000 and all(r.score is not None and np.isfinite(r.score) and r.score < 0 for r in got)
+    # the network is not far from the word model that it is held against, though it has seen a few hundred documents only
+    assert sum(r.score for r in got if r.held_out) > 1.1 * sum(r.base_score for r in got if r.held_out)
+
+
 def test_language_model_base(spark, texts):
     import public_tokenizers
 
