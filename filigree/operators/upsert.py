@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import KEYS
@@ -97,36 +97,7 @@ def upsert_table(stored: DataFrame, batch: DataFrame, table: str, arrival: list[
     return classified, merged(classified, columns)
 
 
-# --- table versions ------------------------------------------------------------------------------------------------
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions of a table folder, oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    out = []
-    for status in fs.listStatus(root):
-        folder = status.getPath()
-        name = folder.getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            out.append(int(name.split("=")[1]))
-    return sorted(out)
-
-
-def read_version(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest complete version (older than ``before``), or an empty table."""
-    known = [v for v in versions(spark, path) if before is None or v < before]
-    if not known:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/version={known[-1]}")
-
-
-def write_version(df: DataFrame, path: str, version: int) -> None:
-    """A new version beside the old ones; readers see it once it is complete, a retry replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+# --- partitions ------------------------------------------------------------------------------------------------------
 
 
 def merge_partitions(
