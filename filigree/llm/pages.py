@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -42,8 +43,28 @@ _WORDS = (
 )
 #: Whole names in class, id or role that mark furniture of a page: such words, also joined, or after the place they stand at.
 _FURNITURE = re.compile(rf"(?:^|\s)(?:(?:site|page|global|main|primary|secondary|top|bottom)[_-]+)*{_WORDS}(?:[_-]+{_WORDS})*(?=\s|$)", re.I)
+#: Core words of names that mark reader comments, adverts and legal lines, and the words they are joined with: 'comments-area', 'adSlot_2'. A name
+#: with any other word ('ad-hoc-networks', 'has-comments') says nothing.
+_CORE = frozenset(
+    """
+    comment comments commentlist disqus replies respond
+    ad adbox ads adsbygoogle adsense adslot adunit advert advertisement advertising adverts outbrain sponsor sponsored taboola
+    consent cookie cookies copyright gdpr
+    """.split()
+)
+_JOINED = frozenset(
+    """
+    area author banner bar block body bottom box container content count desktop dialog embed entry footer form google group header inner item left line link links list main message
+    meta mobile notice outer page panel policy popup post reader readers reply right root section side site slot stripe text thread title top unit user users wrap wrapper zone
+    """.split()
+)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+x?[0-9]*")
+#: Elements that may wrap a page although it is hidden until a script shows it.
+_BOXES = frozenset("div section main article form".split())
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _EDGES = re.compile(r"^\W+|\W+$")
 
 #: Characters of scripts without spaces say as much as three of the others.
@@ -59,6 +80,7 @@ class Block(NamedTuple):
     zone: int  # 0: outside; n: inside the n-th article or main element
     furniture: int  # the innermost element that makes it furniture, by its place in the page; 0: none
     article: int  # the outermost article or main element around it, furniture or not; 0: none
+    story: int  # the outermost article element around it; 0: none
 
 
 class Marked(NamedTuple):
@@ -68,27 +90,52 @@ class Marked(NamedTuple):
     around: int  # the next such element around it
 
 
+@lru_cache(1 << 12)
+def _marks(named: str) -> bool:
+    """Whether names of an element mark it as furniture."""
+    if _FURNITURE.search(named):
+        return True
+    for name in named.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not _CORE.isdisjoint(parts) and all(p in _CORE or p in _JOINED or p[0].isdigit() for p in parts):
+            return True
+    return False
+
+
+def _hidden(attrs: str) -> bool:
+    """Whether an element is not shown: ``hidden``, ``aria-hidden`` or a style that says so."""
+    low = attrs.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), next(filter(None, values), "")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NOT_SHOWN.search(value)):
+            return True
+    return False
+
+
 def _read(page: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int, Marked], dict[int, int]]:
     """Blocks, furniture elements but for the ``wrappers``, and the furniture element around each outermost article."""
     out: list[Block] = []
     marked: dict[int, Marked] = {}
     articles: dict[int, int] = {}
-    stack: list[tuple[str, int, int, int]] = []  # tag, furniture, zone, article
+    stack: list[tuple[str, int, int, int, int]] = []  # tag, furniture, zone, article, story
     parts: list[str] = []
     linked = zones = in_link = 0
+    unseen, depth = "", 0  # the hidden inline element that the text is in
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, bad, zone, article = stack[-1] if stack else ("", 0, 0, 0)
-            out.append(Block(text, linked, zone, bad, article))
+            _, bad, zone, article, story = stack[-1] if stack else ("", 0, 0, 0, 0)
+            out.append(Block(text, linked, zone, bad, article, story))
         parts.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not unseen:
             parts.append(text)
             linked += len(text.strip()) if in_link else 0
 
@@ -104,11 +151,16 @@ def _read(page: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int, M
         if tag == "a":
             in_link = 0 if close else 1
         if tag in _INLINE:
+            if tag == unseen:
+                depth += -1 if close else 1
+                unseen = unseen if depth else ""
+            elif not unseen and not close and tag not in _VOID and _hidden(m["attrs"] or ""):
+                unseen, depth = tag, 1
             if tag in ("br", "img", "input", "wbr"):
                 parts.append(" ")
             continue
         flush()
-        in_link = 0
+        in_link, unseen, depth = 0, "", 0
         if tag in _VOID:
             continue
         if close:
@@ -118,18 +170,21 @@ def _read(page: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int, M
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        _, bad, zone, article = stack[-1] if stack else ("", 0, 0, 0)
+        _, bad, zone, article, story = stack[-1] if stack else ("", 0, 0, 0, 0)
+        gone = at not in wrappers and tag not in ("html", "head", "body") and _hidden(m["attrs"] or "")
         named = " ".join(next(filter(None, g), "") for g in _NAMED.findall(m["attrs"] or ""))
         if tag in _MAIN and not article:
             article = at
             articles[at] = bad
-        if tag in _MAIN and not zone and not bad:
+        if tag == "article" and not story:
+            story = at
+        if tag in _MAIN and not zone and not bad and not gone:
             zones += 1
             zone = zones
-        if at not in wrappers and tag not in ("html", "head", "body") and (tag in _OUT or (tag == "header" and not zone) or (tag not in _MAIN and named and _FURNITURE.search(named))):
-            marked[at] = Marked(tag, bad)
+        if gone or (at not in wrappers and tag not in ("html", "head", "body") and (tag in _OUT or (tag == "header" and not zone) or (tag not in _MAIN and named and _marks(named)))):
+            marked[at] = Marked("aside" if gone and tag not in _BOXES else tag, bad)
             bad = at
-        stack.append((tag, bad, zone, article))
+        stack.append((tag, bad, zone, article, story))
     add(page[at:])
     flush()
     return out, marked, articles
@@ -180,6 +235,20 @@ def blocks(page: str) -> list[Block]:
         wrappers |= more
 
 
+def _teasers(found: list[Block]) -> set[int]:
+    """Articles beside a page's longest one that only point elsewhere: at most a third of its text, with links or of one or two blocks."""
+    mass: dict[int, int] = {}
+    links: dict[int, int] = {}
+    count: dict[int, int] = {}
+    for b in found:
+        if b.story and not b.furniture:
+            mass[b.story] = mass.get(b.story, 0) + len(b.text) - b.link_chars
+            links[b.story] = links.get(b.story, 0) + b.link_chars
+            count[b.story] = count.get(b.story, 0) + 1
+    most = max(mass.values(), default=0)
+    return {k for k, n in mass.items() if 3 * n <= most and (links[k] or count[k] <= 2)}
+
+
 def _long(text: str) -> bool:
     return len(text) >= SHORT or len(text) + 2 * len(_UNSPACED.findall(text)) >= SHORT
 
@@ -202,16 +271,18 @@ def _decide(block: Block, has_main: bool, stop_words: frozenset[str]) -> bool |
 def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
     """The page's main text: kept blocks joined by a newline.
 
-    First pass: blocks inside furniture elements or mostly made of links are furniture. Where the page marks its article, long blocks
+    First pass: blocks inside furniture elements, hidden ones, teaser articles or mostly made of links are furniture. Where the page marks its article, long blocks
     are decided by standing inside it; elsewhere they are main text if they hold few links, in any language, and
     with more links if they are dense in stop words.
     Second pass: short and linked blocks take the label of the nearest decided block of the same zone;
     where both sides are as near and differ, where a zone has no decided block at all, and where the page has no
-    block decided as main text, they are kept inside an article and dropped outside if the page has one. NULL and empty pages give ''.
+    block decided as main text, they are kept inside an article and dropped outside if the page has one. NULL and empty pages give ''; equal pages give equal texts.
     """
     if not page:
         return ""
     found = blocks(page)
+    teasers = _teasers(found)
+    found = [b._replace(furniture=b.story) if b.story in teasers else b for b in found]
     has_main = any(b.zone and not b.furniture for b in found)
     labels = [_decide(b, has_main, stop_words) for b in found]
     some = True in labels
