@@ -60,25 +60,28 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 
-def source_mix(sweeps: int = 5) -> str:
-    steps, last = [], "c0"
-    for k in range(sweeps):
-        for d in ("source", "lang", "topic"):
-            name = f"{d[0]}{k}"
-            steps.append(f"{name} AS (SELECT {last}.source, {last}.lang, {last}.topic, tokens, w * t_{d}.want / sum(w) OVER (PARTITION BY {last}.{d}) AS w FROM {last} JOIN t_{d} USING ({d}))")
-            last = name
+def source_mix(tolerance: float = 1e-6, most: int = 200) -> str:
+    keys = ("source", "lang", "topic")
+    sweep = "r"
+    for d in (*keys, *keys):
+        sweep = f"(SELECT k, source, lang, topic, tokens, w * want / sum(w) OVER (PARTITION BY {d}) AS w FROM {sweep} JOIN t_{d} USING ({d}) {'WHERE k < 4 OR (err > ' + repr(tolerance) + f' AND k < {most})' if sweep == 'r' else ''})"
+    apart = ", ".join(f"abs(sum(w) OVER (PARTITION BY {d}) - want_{d[0]})" for d in keys)
+    wants = " ".join(f"JOIN (SELECT {d}, want AS want_{d[0]} FROM t_{d}) USING ({d})" for d in keys)
+    sweeps = f"""r AS (SELECT 0 AS k, source, lang, topic, tokens, w, 1.0::DOUBLE AS err FROM c0
+  UNION ALL SELECT k + 2, source, lang, topic, tokens, w, max(apart) OVER () / (SELECT sum(tokens) FROM c0) FROM (SELECT *, greatest({apart}) AS apart FROM {sweep} {wants})),
+last AS (SELECT source, lang, topic, tokens, w FROM r WHERE k = (SELECT max(k) FROM r))"""
     targets = ", ".join(
         f"t_{d} AS (SELECT {d}, (SELECT sum(tokens) FROM c0) * share / sum(share) OVER () AS want FROM (SELECT {d}, pow(sum(tokens), 0.5) AS share FROM c0 GROUP BY {d}))"
         for d in ("source", "lang", "topic")
     )
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens,
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens,
   CASE WHEN regexp_matches(text, '[Ll]icen[cs]e|[Cc]opyright') THEN 'licence' WHEN regexp_matches(text, '@[A-Za-z0-9-]+[.][a-z]') THEN 'contact'
     WHEN regexp_matches(text, '[Pp]assw|[Ss]ecret|[Tt]oken|AKIA') THEN 'credentials' WHEN regexp_matches(text, '[%$#&*]{{3}}') THEN 'markup' ELSE 'prose' END AS topic FROM documents),
 c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(tokens) > 0),
-{targets}, {", ".join(steps)},
-e AS (SELECT d.*, round(0.5 * coalesce(w / {last}.tokens, 1), 9) AS rate,
-  ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d LEFT JOIN {last} USING (source, lang, topic))
+{targets}, {sweeps},
+e AS (SELECT d.*, round(0.5 * coalesce(w / last.tokens, 1), 9) AS rate,
+  ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d LEFT JOIN last USING (source, lang, topic))
 SELECT doc_id, topic, tokens::BIGINT AS n_tokens, round(least(1, rate), 6) AS probability, u < least(1, rate) AS kept,
   round(CASE WHEN rate > 0 THEN rate / least(1, rate) ELSE 0 END, 6) AS weight FROM e
 """

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.llm.rows import whole_row
 from filigree.sources.staging import stage
 
 
@@ -108,7 +109,7 @@ def find(docs: DataFrame, ledger: DataFrame | None = None, *, text: str = "text"
     fresh = stage(scan(docs, ledger, text=text, rules=rules))
     known = stage(findings(fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "spans")), rules))
     kept = [c for c in docs.columns if c.lower() != "_found"]
-    packed = docs.select(F.struct(*kept).alias("row"), blob_of(F.col(text)).alias("blob"))
+    packed = docs.select(whole_row(kept), blob_of(F.col(text)).alias("blob"))
     got = packed.join(known, "blob", "left")
     return got.select("row.*", F.coalesce("found", F.lit([]).cast(f"array<{SPAN}>")).alias("_found")), fresh
 
