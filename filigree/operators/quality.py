@@ -202,9 +202,11 @@ def missing_core(cells: DataFrame, lines) -> DataFrame:
 def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Content hash of a whole table that does not depend on row order.
 
-    Row hashes are added up word by word, so partial sums merge and nothing is collected.
+    Row hashes are added up word by word, so partial sums merge and nothing is collected. Values carry their length in bytes, and NULL is '-',
+    so that no two different rows read alike.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    values = [F.col(c).cast("string") for c in columns]
+    text = F.concat(*[F.coalesce(F.concat(F.octet_length(v), F.lit(":"), v), F.lit("-")) for v in values])
     row_hash = F.sha2(text, 256)
     hashed = rows.select(row_hash.alias("h"))
     words = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(28,0)") for i in range(8)]
@@ -295,7 +297,7 @@ def _measured(m) -> dict[str, Column]:
         "requests_per_security_recorded": F.coalesce(m("requests") > 0, F.lit(False)),
         "failing_request_rate": F.when(m("requests") > 0, m("failed_requests") <= 0.01 * m("requests")),
         "sec_403_429": (m("http_403") + m("http_429")) == 0,
-        "failure_classes_handled": F.coalesce(zero("unhandled_kinds"), F.lit(True)),
+        "failure_classes_handled": zero("unhandled_kinds"),
         "warnings_categorised": zero("uncategorised_warnings"),
         "warnings_attributable": zero("unattributed_warnings"),
         "no_manual_intervention": zero("fatal"),
@@ -361,17 +363,26 @@ def gate_components(components: DataFrame, policies: DataFrame | None = None) ->
     return open_.select("criterion", "component", "status", "deferred_to", blocks.alias("blocks"))
 
 
-def progression_gate(
-    gated: DataFrame, *, execution: str, failures: int, live: bool, integrity_violations: int | None, tests: str | None
-) -> DataFrame:
-    """OPEN only if nothing blocks: the run, its data, its tests and every component."""
-    run_blockers = (
-        int(execution != "COMPLETED") + int(failures > 0) + int(not live) + int(integrity_violations != 0) + int(tests != "PASSED")
-    )
-    blocked = F.count_if(F.col("blocks"))
-    return gated.agg(
-        F.when((blocked > 0) | F.lit(run_blockers > 0), "CLOSED").otherwise("OPEN").alias("gate"),
-        F.lit(run_blockers).cast("bigint").alias("run_blockers"),
-        blocked.alias("component_blockers"),
-        F.count_if(~F.col("blocks")).alias("deferred"),
+def run_blockers(measures: DataFrame) -> DataFrame:
+    """One row (``fact``, ``blocks``) for each fact of the run that the gate asks for, from measure rows (name, value).
+
+    A run must be completed, without failures and integrity violations, against live providers, with its tests passed. A fact that was not
+    measured blocks.
+    """
+    named = dict(measures.dtypes)["value"]
+    wanted = {"completed": 1, "failures": 0, "live": 1, "integrity_violations": 0, "tests_passed": 1}
+    held = [F.max(F.when(F.col("name") == name, F.col("value"))).cast(named).alias(name) for name in wanted]
+    rows = [F.struct(F.lit(name).alias("fact"), F.coalesce(F.col(name) != want, F.lit(True)).alias("blocks")) for name, want in wanted.items()]
+    return measures.agg(*held).select(F.inline(F.array(*rows)))
+
+
+def progression_gate(gated: DataFrame, run: DataFrame) -> DataFrame:
+    """OPEN only if nothing blocks: every component and every fact of the run (``run_blockers``)."""
+    rows = gated.select("blocks", F.lit(True).alias("component")).unionAll(run.select("blocks", F.lit(False)))
+    blocks, component = F.col("blocks"), F.col("component")
+    return rows.agg(
+        F.when(F.count_if(blocks) > 0, "CLOSED").otherwise("OPEN").alias("gate"),
+        F.count_if(blocks & ~component).alias("run_blockers"),
+        F.count_if(blocks & component).alias("component_blockers"),
+        F.count_if(~blocks & component).alias("deferred"),
     )

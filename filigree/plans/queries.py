@@ -24,7 +24,7 @@ from ..operators import quality as Q
 from ..operators import screen as SC
 from ..operators import ttm as TT
 from ..operators import upsert as U
-from ..reference_data import CORE_LINES, COVERAGE_LINES, FLOW_LINES, METRIC, SHEET_LINES, catalog_frame, constant_frame
+from ..reference_data import CORE_LINES, COVERAGE_LINES, FLOW_LINES, HANDLED_ISSUE_KINDS, METRIC, SHEET_LINES, catalog_frame, constant_frame
 from ..sources import documents as DOC
 from ..sources import provenance as PV
 from ..sources import staging as ST
@@ -1083,12 +1083,13 @@ def role_coverage(i: Inputs) -> DataFrame:
     return Q.role_coverage(_roles(i))
 
 
+_SIZED = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("security_id", "cik", "ticker"))
 _WORDS = ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT) AS w{k}" for k in range(8))
 
 
 @query("manifest_digest", O.compose(f"""
   SELECT sha256(concat_ws('|', {', '.join(f'CAST(w{k} AS VARCHAR)' for k in range(8))}, CAST(rows AS VARCHAR))) AS digest, rows FROM (
-    SELECT {_WORDS}, count(*) AS rows FROM (SELECT sha256(security_id || '|' || coalesce(cik, '') || '|' || ticker) AS h FROM v_securities))""",
+    SELECT {_WORDS}, count(*) AS rows FROM (SELECT sha256({_SIZED}) AS h FROM v_securities))""",
     "v_securities"))
 def manifest_digest(i: Inputs) -> DataFrame:
     return Q.digest(i.securities(), ["security_id", "cik", "ticker"])
@@ -1140,6 +1141,29 @@ def known_limitations(i: Inputs) -> DataFrame:
     return Q.known_limitations(PV.fundamentals_coverage(i.sources()))
 
 
+def _issues(i: Inputs) -> DataFrame:
+    """Kinds of all issues: failed requests, some of a kind that nobody handles, and listings without identity or facts."""
+    k = F.get_json_object("props", "$.k")
+    failed = i.table("events").select(F.when(k == "3", "HTTP_403").when(k == "29", "HTTP_429").when(k == "41", "TIMEOUT").alias("kind"))
+    found = _outcomes(i).select(F.when(~F.col("identity"), "IDENTITY").when(F.col("facts_status") != "OK", F.col("facts_status")).alias("kind"))
+    return failed.unionAll(found).where("kind IS NOT NULL")
+
+
+_ISSUES_SQL = f"""(SELECT CASE json_extract_string(props, '$.k') WHEN '3' THEN 'HTTP_403' WHEN '29' THEN 'HTTP_429' WHEN '41' THEN 'TIMEOUT' END AS kind FROM events
+  UNION ALL SELECT CASE WHEN NOT identity THEN 'IDENTITY' WHEN facts_status <> 'OK' THEN facts_status END FROM {_OUTCOMES_SQL})"""
+_UNHANDLED_SQL = f"SELECT DISTINCT kind FROM {_ISSUES_SQL} WHERE kind NOT IN ({', '.join(repr(k) for k in HANDLED_ISSUE_KINDS)})"
+
+
+@query("issue_kinds", O.compose(f"SELECT kind, count(*) AS issues FROM {_ISSUES_SQL} WHERE kind IS NOT NULL GROUP BY kind", *_OUTCOME_NEEDS))
+def issue_kinds(i: Inputs) -> DataFrame:
+    return _issues(i).groupBy("kind").agg(F.count("*").alias("issues"))
+
+
+@query("unhandled_kinds", O.compose(_UNHANDLED_SQL, *_OUTCOME_NEEDS))
+def unhandled_kinds(i: Inputs) -> DataFrame:
+    return Q.unhandled_kinds(_issues(i))
+
+
 def _measures(i: Inputs) -> DataFrame:
     """Named measures of one run over the derived tables."""
     checks = _integrity(i)
@@ -1159,16 +1183,23 @@ def _measures(i: Inputs) -> DataFrame:
     )
     peak = request_peak(i).agg(F.max("peak_per_second").alias("peak_per_second"))
     requests = request_statistics(i).agg(
-        F.sum("requests").alias("requests"), F.sum("http_403").alias("http_403"), F.sum("http_429").alias("http_429")
-    )
+        F.sum("requests").alias("requests"), F.sum("http_403").alias("http_403"), F.sum("http_429").alias("http_429"),
+        F.sum(F.col("http_403") + F.col("http_429")).alias("failed_requests"),
+    ).withColumn("failures", F.col("failed_requests"))
+    broken = checks.agg(F.sum(n).alias("integrity_violations"))
+    kinds = unhandled_kinds(i).agg(F.count("*").alias("unhandled_kinds"))
+    slow = p95_seconds(i).agg(F.max("p95").alias("p95_seconds"))
+    tickers = i.securities().where(F.col("cik").isNotNull()).groupBy("ticker").agg(F.min("cik").alias("a"), F.max("cik").alias("z"))
+    double = tickers.agg(F.count_if(F.col("a") != F.col("z")).alias("ambiguous"))
     warn = Q.uncategorised(_warnings(i)).agg(F.count("*").alias("uncategorised_warnings"))
     rerun = idempotent_rerun(i).select(F.col("inserted").alias("rerun_inserted"), F.col("updated").alias("rerun_updated"))
-    rates = run_rates(i).select("identified", "attempted")
+    rates = run_rates(i).select("identified", "attempted", (F.col("attempted") > 0).cast("int").alias("completed"))
     return Q.union_all(
         [
             one, dup, src, long(core, "core_cells", "core_missing"), long(high, "high_compared", "high_within"),
-            long(peak, "peak_per_second"), long(requests, "requests", "http_403", "http_429"),
-            long(warn, "uncategorised_warnings"), long(rerun, "rerun_inserted", "rerun_updated"), long(rates, "identified", "attempted"),
+            long(peak, "peak_per_second"), long(requests, "requests", "http_403", "http_429", "failed_requests", "failures"),
+            long(warn, "uncategorised_warnings"), long(rerun, "rerun_inserted", "rerun_updated"), long(rates, "identified", "attempted", "completed"),
+            long(broken, "integrity_violations"), long(kinds, "unhandled_kinds"), long(slow, "p95_seconds"), long(double, "ambiguous"),
         ]
     )
 
@@ -1180,7 +1211,10 @@ _M = f"""m AS (SELECT (SELECT sum(violations) FROM integrity WHERE check_name LI
     (SELECT avg((abs(p.high_52w.value / nq.year_high - 1) <= 0.005)::INT) FROM v_securities JOIN prices p USING (security_id) JOIN newest_quote nq USING (security_id)
       WHERE p.high_52w.state = 'OK' AND nq.year_high <> 0) AS high,
     (SELECT max(n) FROM (SELECT count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 999999 PRECEDING AND CURRENT ROW) AS n FROM events)) AS peak,
-    (SELECT count(*) FILTER (json_extract_string(props, '$.k') IN ('3', '29')) FROM events) AS blocked)"""
+    (SELECT count(*) FILTER (json_extract_string(props, '$.k') IN ('3', '29')) FROM events) AS blocked, (SELECT count(*) FROM events) AS requests,
+    (SELECT count(*) FROM ({_UNHANDLED_SQL})) AS unhandled, (SELECT sum(violations) FROM integrity) AS broken,
+    (SELECT max(list_sort(v)[CAST(ceil(0.95::DOUBLE * len(v)) AS BIGINT)]) FROM (SELECT list(value) AS v FROM events GROUP BY event_type)) AS p95,
+    (SELECT count(*) FROM (SELECT 1 FROM v_securities GROUP BY ticker HAVING count(DISTINCT cik) > 1)) AS ambiguous, (SELECT count(*) FROM v_securities) AS attempted)"""
 
 
 def _one(criterion: str, component: str, test: str) -> str:
@@ -1203,11 +1237,13 @@ _COMPONENT_TESTS = {
     "non_finite_stored": _pf("(SELECT sum(violations) FROM integrity WHERE check_name LIKE 'non_finite%') = 0"),
     "duplicates_after_run1": _pf("dup = 0"),
     "sec_sustained_rate": _pf("peak <= 9"),
-    "requests_per_security_recorded": "'PASS'",
+    "requests_per_security_recorded": _pf("requests > 0"),
+    "failing_request_rate": _pf("blocked <= 0.01 * requests"),
+    "ambiguous_tickers": _pf("ambiguous = 0"),
     "sec_403_429": _pf("blocked = 0"),
-    "failure_classes_handled": "'PASS'",
+    "failure_classes_handled": _pf("unhandled = 0"),
     "warnings_categorised": "'PASS'",
-    "per_security_p95_recorded": "'FAIL'",
+    "per_security_p95_recorded": _pf("p95 IS NOT NULL"),
     "rerun_inserts_nothing": "'PASS'",
     "week52_high_vs_nasdaq": _pf("high >= 0.95"),
     "rows_carry_source_id": _pf("nosrc = 0"),
@@ -1259,13 +1295,14 @@ def gate_components(i: Inputs) -> DataFrame:
     return Q.gate_components(acceptance_components(i))
 
 
-@query("progression_gate", _accept_sql(f"""SELECT 'CLOSED' AS gate, 1::BIGINT AS run_blockers, count(*) FILTER (blocks) AS component_blockers, count(*) FILTER (NOT blocks) AS deferred
+@query("progression_gate", _accept_sql(f"""SELECT CASE WHEN component_blockers + run_blockers > 0 THEN 'CLOSED' ELSE 'OPEN' END AS gate, run_blockers, component_blockers, deferred FROM (
+  SELECT (SELECT (attempted = 0)::BIGINT + (blocked <> 0)::BIGINT + (broken <> 0)::BIGINT + 2 FROM m) AS run_blockers, count(*) FILTER (blocks) AS component_blockers, count(*) FILTER (NOT blocks) AS deferred
   FROM (SELECT c.status = 'FAIL' OR p.component IS NULL AS blocks FROM comp c LEFT JOIN (VALUES {_POLICY_SQL}) AS p(criterion, component, deferred_to)
-    ON p.criterion = c.criterion AND p.component = c.component WHERE c.status <> 'PASS')"""))
+    ON p.criterion = c.criterion AND p.component = c.component WHERE c.status <> 'PASS'))"""))
 def progression_gate(i: Inputs) -> DataFrame:
-    return Q.progression_gate(
-        gate_components(i), execution="COMPLETED", failures=0, live=False, integrity_violations=0, tests="PASSED"
-    )
+    """Nothing in the tables says that the run was live or that its tests passed, so both block."""
+    measures = ST.stage(_measures(i))
+    return Q.progression_gate(Q.gate_components(Q.acceptance_components(measures)), Q.run_blockers(measures))
 
 
 # --- evidence --------------------------------------------------------------------------------------------------------

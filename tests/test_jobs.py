@@ -282,18 +282,21 @@ def test_components_from_measures(spark):
     got = {r.component: r.status for r in Q.acceptance_components(none).collect()}
     assert len(got) == sum(map(len, CRITERIA.values()))
     assert (got["identity_rate"], got["duplicates_after_run1"], got["duplicates_after_run2"], got["total_assets"]) == ("PASS", "FAIL", "NOT_EVALUABLE", "DEFERRED")
+    assert {got[c] for c in ("failure_classes_handled", "per_security_p95_recorded")} == {"NOT_EVALUABLE", "FAIL"}
 
 
 def test_gate_fails_closed(spark):
     def gate(rows, **more):
         c = spark.createDataFrame(rows, "criterion string, component string, status string")
-        args = dict(execution="COMPLETED", failures=0, live=True, integrity_violations=0, tests="PASSED")
-        return one(Q.progression_gate(Q.gate_components(c), **{**args, **more})).gate
+        facts = {"completed": 1.0, "failures": 0.0, "live": 1.0, "integrity_violations": 0.0, "tests_passed": 1.0} | more
+        run = spark.createDataFrame([(k, v) for k, v in facts.items() if v is not None] + [("other", 3.0)], "name string, value double")
+        return one(Q.progression_gate(Q.gate_components(c), Q.run_blockers(run))).gate
 
     waived = [("A4", "total_assets", "DEFERRED"), ("A1", "identity_rate", "PASS")]
     assert gate(waived) == "OPEN"
     assert gate([("A4", "total_assets", "FAIL")]) == "CLOSED" and gate([("A1", "identity_rate", "NOT_EVALUABLE")]) == "CLOSED"
-    assert gate(waived, live=False) == "CLOSED" and gate(waived, tests=None) == "CLOSED" and gate(waived, integrity_violations=None) == "CLOSED"
+    assert gate(waived, live=0.0) == "CLOSED" and gate(waived, tests_passed=None) == "CLOSED" and gate(waived, integrity_violations=None) == "CLOSED"
+    assert gate(waived, failures=2.0) == "CLOSED" and gate(waived, completed=0.0) == "CLOSED" and gate([]) == "OPEN"
 
 
 def test_verdict(spark):
@@ -311,6 +314,7 @@ def test_digest_ignores_order_and_sees_changes(spark):
         return one(Q.digest(spark.createDataFrame(rs, "k int, v string").repartition(n), ["k", "v"])).digest
 
     assert digest(rows, 1) == digest(rows[::-1], 3) != digest(rows[:2], 1)
+    assert digest([(1, None)], 1) != digest([(1, "")], 1) and digest([(1, "2:a-")], 1) != digest([(12, ":a-")], 1)
 
 
 def test_warning_and_issue_sets(spark):
