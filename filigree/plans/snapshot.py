@@ -25,14 +25,14 @@ ALL = Needs.all()
 FUNDAMENTAL_METRICS = tuple(m for m in ISSUER_METRICS if m not in FR.QUOTE_METRICS)
 
 
-def statement_frames(facts: DataFrame, *, lines=None, as_of=None, reuse: bool = False, anchors: bool = True) -> tuple[DataFrame, DataFrame]:
+def statement_frames(facts: DataFrame, *, lines=None, as_of=None, reuse: bool = False, anchors: bool = True, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(line facts, periods, with each issuer's year end and sheet date unless ``anchors`` is off).
 
-    ``reuse`` stores the reduced period table because several branches read it.
+    ``reuse`` stores the reduced period table because several branches read it, in as many ``buckets`` by issuer as the facts.
     """
     lf = X.line_facts(facts, lines=lines, as_of=as_of)
     periods = X.with_anchors(X.periods(lf)) if anchors else X.periods(lf)
-    return lf, stage(periods) if reuse else periods
+    return lf, stage(periods, "cik", buckets) if reuse else periods
 
 
 def ttm_metrics(periods, by_tag_pairs, needs: Needs) -> DataFrame:
@@ -54,7 +54,7 @@ def ttm_metrics(periods, by_tag_pairs, needs: Needs) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "cik", "full_outer"), parts)
 
 
-def issuer_fundamentals(facts: DataFrame, issuers: DataFrame | None, as_of, *, reuse: bool = True, needs: Needs | None = None) -> DataFrame:
+def issuer_fundamentals(facts: DataFrame, issuers: DataFrame | None, as_of, *, reuse: bool = True, needs: Needs | None = None, buckets: int | None = None) -> DataFrame:
     """One row per issuer with every metric that needs no price, and the line selections behind them.
 
     Without ``issuers`` there is a row for each issuer that reports one of the lines read. With ``needs`` only what those metrics rest on is read, and only they are made.
@@ -67,7 +67,7 @@ def issuer_fundamentals(facts: DataFrame, issuers: DataFrame | None, as_of, *, r
     if read:
         branches = sum(map(bool, (annual or sheet, paired, ttm))) + 1
         anchored = bool(annual or sheet or paired)
-        _, periods = statement_frames(facts, lines=read, reuse=reuse and branches > 2, anchors=anchored)
+        _, periods = statement_frames(facts, lines=read, reuse=reuse and branches > 2, anchors=anchored, buckets=buckets)
         if anchored:
             parts.append(periods.groupBy("cik").agg(F.first("fy_end").alias("fy_end"), F.first("sheet_end").alias("sheet_end")))
         if annual or sheet:
@@ -77,7 +77,7 @@ def issuer_fundamentals(facts: DataFrame, issuers: DataFrame | None, as_of, *, r
             by_tag = X.tag_pairs(X.line_facts(facts, lines=paired), X.pair_anchors(periods, paired))
             readers = 1 + (N.FILING_SHEETS in needs) + ("revenue_growth_ttm_yoy" in needs)
             if reuse and readers > 1:
-                by_tag = stage(by_tag)  # one row per issuer and tag, read by several branches
+                by_tag = stage(by_tag, "cik", buckets)  # one row per issuer and tag, read by several branches
             pairs = X.annual_pairs(by_tag)
             parts.append(X.pivot_lines(pairs, paired, value="pair", prefix="pair_"))
             if N.FILING_SHEETS in needs:
@@ -116,7 +116,7 @@ def issuer_metrics(tables: Tables, as_of, *, reuse: bool = True, needs: Needs |
         row = tables.securities.where(F.col("cik").isNotNull()).select("cik").distinct()
     made = [m for m in needs.metrics() if m in FUNDAMENTAL_METRICS]
     if needs.statements():
-        row = issuer_fundamentals(tables.facts, row, as_of, reuse=reuse, needs=needs)
+        row = issuer_fundamentals(tables.facts, row, as_of, reuse=reuse, needs=needs, buckets=tables.fact_buckets)
     if tables.sources is not None and needs.statements():
         row = row.join(fundamentals_coverage(tables.sources), "cik", "left")
     else:
