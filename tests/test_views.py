@@ -1,4 +1,4 @@
-"""The derived tables: how they are dealt."""
+"""The derived tables: how they are dealt, and that every order counts."""
 
 import datetime
 
@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigree.operators import facts as X
+from filigree.plans import queries as Q
 from filigree.plans.views import Inputs
 from filigree.sources.staging import stage
 
@@ -40,3 +41,8 @@ def test_stored_facts_are_in_buckets(spark, sf_dir):
     assert sorted(stored.collect()) == sorted(i.facts().collect())
     assert SHUFFLE not in _plan(X.with_anchors(X.periods(X.line_facts(stored))))
     assert SHUFFLE in _plan(stage(i.facts()).groupBy("cik").agg(F.count("*")))
+
+
+def test_fiscal_year_labels_of_every_year(spark, sf_dir):
+    got = {(r.cik, r.period_end, r.fiscal_year) for r in Q.REGISTRY["fiscal_year_labels"](spark, sf_dir).collect()}
+    assert got == {(cik, f"{y}-12-31", y) for cik in ("0001000001", "0001000002", "0000000001", "0000000002") for y in (2000, 2001)}
