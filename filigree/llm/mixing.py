@@ -56,17 +56,16 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], *, tolerance: float
     ``targets`` maps a dimension to a table of its values and their ``target`` shares. Cells whose value has no target are left
     out: their share is 0. Sweeps end when no share is further than ``tolerance`` from its target. Targets that contradict each other (a source in one
     language that wants more than this language) are never met; after ``most`` sweeps the last dimension's are. Cells are never all needed in
-    one task: each step is a mergeable sum and a join with one row per value; the cells are written every other sweep, which keeps the plan short
-    and the state safe.
+    one task: each step is a mergeable sum and a join with one row per value. A step reads the cells twice, so they are written after each one:
+    unwritten, the plan would double with every step.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)  # one number
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for sweep in range(2, most + 1, 2):
-        for d, target in (*targets.items(), *targets.items()):
+    for sweep in range(1, most + 1):
+        for d, target in targets.items():
             factor = now.groupBy(d).agg(F.sum("weight").alias("sum")).join(target, d).select(d, F.when(F.col("sum") > 0, F.col("target") * total / F.col("sum")).otherwise(F.lit(0.0)).alias("factor"))
-            now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = stage(now)
-        if not total or (sweep >= 4 and marginal_error(now, targets, total) <= tolerance):
+            now = stage(now.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"))
+        if not total or (sweep >= 4 and sweep % 2 == 0 and marginal_error(now, targets, total) <= tolerance):
             break
     return now
 

@@ -346,6 +346,15 @@ def test_rows_with_columns_of_any_name(spark, tmp_path):
         assert (r["text.lang"], r["row"], r["fp"], r["h"], r["p"], r["a`b"]) == ("q", 1, 2, 3, 4, 5)
 
 
+def test_raking_plans_do_not_grow(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", "p", 5), ("a", "y", "q", 3), ("b", "x", "q", 4)], "source string, lang string, topic string, tokens long")
+    targets = {d: mixing.stage(mixing.flattened(cells, d, 0.5)) for d in mixing.DIMENSIONS}
+    joins, write = [], mixing.stage
+    monkeypatch.setattr(mixing, "stage", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or write(df))
+    mixing.rake(cells, targets, most=4)
+    assert joins and max(joins) <= 2
+
+
 def test_mixing_rows(spark, texts):
     df = _docs(spark, [*texts, texts[9]], [*range(len(texts)), 9])
     rows = mixing.mix(df).collect()
