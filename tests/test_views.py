@@ -1,6 +1,7 @@
 """The derived tables: how they are dealt, and that every order counts."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +47,14 @@ def test_stored_facts_are_in_buckets(spark, sf_dir):
 def test_fiscal_year_labels_of_every_year(spark, sf_dir):
     got = {(r.cik, r.period_end, r.fiscal_year) for r in Q.REGISTRY["fiscal_year_labels"](spark, sf_dir).collect()}
     assert got == {(cik, f"{y}-12-31", y) for cik in ("0001000001", "0001000002", "0000000001", "0000000002") for y in (2000, 2001)}
+
+
+def test_methods_on_facts_are_small_enough_to_be_compiled(spark, sf_dir, capsys):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("ttm_components", "line_selection"):
+            Q.REGISTRY[name](spark, sf_dir).explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000  # bytes; longer methods are interpreted
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
