@@ -21,6 +21,13 @@ from filigree.sources.staging import stage
 #: Leading principal components that make up the grid order, and those that the boxes look at.
 GRID, BOX = 4, 16
 INTERVAL, BLOCK = 2048, 256
+#: Each interval may meet all others, so a vector is sent once for each: as many intervals at most, unless one would hold more than ``MOST`` bytes.
+INTERVALS, MOST = 12, 32 << 20
+
+
+def intervals(vectors: int, size: int) -> int:
+    """How many intervals so many vectors of so many bytes each are cut into."""
+    return max(1, min(-(-vectors // INTERVAL), INTERVALS), -(-vectors * size // MOST))
 
 
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,9 +160,9 @@ def near_copies(vectors: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_
     cells = [f"c{k}" for k in range(GRID)]
     schema = "d int, key string, id long, m long, x binary, y binary, " + ", ".join(f"{c} long" for c in cells)
     placed = heads.select("d", "key", F.col("head").alias("id"), "m", "x").mapInPandas(_projected(axes, epsilon), schema)
-    n = heads.count()
-    dealt = placed.repartitionByRange(max(1, -(-n // INTERVAL)), "d", *cells, "id").withColumn("part", F.spark_partition_id())
-    dealt = stage(dealt)
+    total = heads.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
+    dealt = placed.repartitionByRange(intervals(total["n"], 8 * (total["d"] or 0)), "d", *cells, "id").withColumn("part", F.spark_partition_id())
+    dealt = stage(dealt.drop("key"))
 
     # Bounding boxes of the intervals in grid cells: a few numbers per interval. Only intervals whose first cells are neighbours can meet.
     boxes = dealt.groupBy("d", "part").agg(*(f(c).alias(f"{n}_{c}") for c in cells for n, f in (("lo", F.min), ("hi", F.max))))

@@ -394,6 +394,11 @@ def test_intervals_and_blocks_lose_nothing(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in epsilon_grid.near_copies(df).collect()} == want
 
 
+def test_vectors_are_sent_a_bounded_number_of_times():
+    assert [epsilon_grid.intervals(n, 512) for n in (0, 100, 5_000, 51_282, 256_410)] == [1, 1, 3, epsilon_grid.INTERVALS, epsilon_grid.INTERVALS]
+    assert epsilon_grid.intervals(10**8, 512) * epsilon_grid.MOST >= 10**8 * 512
+
+
 def test_empty_tables(spark):
     df = _docs(spark, ["x"]).limit(0)
     assert jaccard.join(df).count() == suffix_array.repeated_bytes(df).count() == suffix_tree.repeated_words(df).count() == secrets.find(df)[0].count() == 0
