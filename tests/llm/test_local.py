@@ -89,6 +89,19 @@ def test_similar_sets_share_a_node_and_trees_link_exactly(seed):
     assert same(label.tolist()) == same(want)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_sets_share_as_many_nodes_as_either_of_them_says(seed):
+    sets = _sets(random.Random(seed))
+    levels = jaccard.Levels(Fraction(4, 5))
+    for common in (np.zeros(1 << 20, bool), np.random.default_rng(seed).random(1 << 20) < 0.4):
+        nodes = [{level: (set(own.tolist()), least) for level, own, least in levels.nodes(s, common)} for s in sets]
+        for i in range(len(sets)):
+            for j in range(i):
+                both = [k for k in nodes[i] if k in nodes[j]]
+                if _similar(sets[i], sets[j]):
+                    assert any(len(nodes[i][k][0] & nodes[j][k][0]) >= max(nodes[i][k][1], nodes[j][k][1]) for k in both)
+
+
 def test_every_slot_is_scored_once():
     for n in (1, 2, 23, 24, 25, 43, 44, 45, 64, 80, 500):
         slots = np.arange(n) % attention_lm.SLOTS

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -71,6 +72,24 @@ def test_jaccard_join(spark, texts, tile, monkeypatch):
     assert got == _classes(texts)
 
 
+def test_only_texts_that_are_asked_for_are_shuffled(spark):
+    named = spark.range(2000).selectExpr("id AS doc", "concat('text ', id) AS text")
+    got = {r.doc for r in jaccard._among(named, spark.createDataFrame([(7,), (1234,), (-5,)], "doc long")).collect()}
+    assert {7, 1234} <= got and len(got) < 10
+    assert jaccard._among(named, named.where("false")).count() == 0
+
+
+def test_sets_that_share_too_few_nodes_are_not_compared(spark):
+    rng = random.Random(11)
+    words = lambda n: [str(rng.random()) for _ in range(n)]
+    line, base = words(24), words(300)
+    texts = [" ".join(line + words(280)) for _ in range(40)] + [" ".join(base), " ".join(base[:-6] + words(6))]
+    sets = [jaccard.shingle_set(t.encode(), 5) for t in texts]
+    rows = [(f, f, t) for f, t in zip(map(jaccard.fingerprint, sets), texts)]
+    got = jaccard._meeting(spark.createDataFrame(rows, "fp long, known long, text string"), 5, jaccard.Levels(Fraction(4, 5)), np.zeros(1 << 20, bool)).collect()
+    assert {r.fp for r in got} == {r[0] for r in rows[-2:]} and len({r.grp for r in got}) <= 2
+
+
 def test_jaccard_rows_without_id_and_repeated_rows(spark):
     a, b = "a b c d e f g", "k l m n o p q"
     df = _docs(spark, [a, a, b, b, None, None, a], [None, 3, None, None, None, 4, 3])
