@@ -1,5 +1,6 @@
 """Parts that need no Spark: anchors, signature trees, windows of the network, page rules, features."""
 
+import pickle
 import random
 from fractions import Fraction
 
@@ -230,3 +231,30 @@ def test_probabilities_of_the_next_slot_sum_to_one():
     y[:, 4] = np.arange(attention_lm.SLOTS)
     total = np.exp(net.log_likelihood(x, y, np.repeat(at, len(x), 0)).astype(np.float64)).sum()
     assert abs(total - 1) < 1e-3
+
+
+@pytest.mark.parametrize("kind,near", [(np.float64, 1e-12), (np.float32, 1e-5)])
+def test_network_gives_the_same_with_and_without_shifted_exponentials(monkeypatch, kind, near):
+    net = attention_lm.Network(_network()[2].theta.astype(kind))
+    x, y, scored = attention_lm.cut_windows(np.random.default_rng(8).integers(0, attention_lm.SLOTS, 300))
+    plain = net.log_likelihood(x, y, scored), net.gradient(x, y, scored)
+    monkeypatch.setattr(attention_lm, "_LARGE", -1.0)  # every row is shifted
+    for a, b in zip(plain, (net.log_likelihood(x, y, scored), net.gradient(x, y, scored)), strict=True):
+        assert a.dtype == b.dtype == kind and np.abs(a - b).max() < near * max(1, np.abs(b).max())
+
+
+def test_words_are_read_once_and_packed():
+    import public_tokenizers
+
+    slot, within, net = _network()
+    sub = attention_lm.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    slot, within, _ = attention_lm.slots_of(np.random.default_rng(0).integers(0, 50, sub.size).astype(float))
+    scorer = attention_lm.Scorer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, slot, within, net.theta)
+    words = [b"don't", b"x" * 700, "café".encode(), b"\xff\xfe", b"don't"]
+    ids = [i for w in words for i in sub.of(w)] + [sub.end]
+    for _ in range(2):  # with words that are new and with known ones
+        slots, inner = scorer.read(words)
+        assert slots.tolist() == slot[ids].tolist() and abs(inner - within[ids].sum()) < 1e-9
+    assert len(scorer.cache) == 4 and all(isinstance(s, bytes) for s, _ in scorer.cache.values())
+    slots, inner = pickle.loads(pickle.dumps(scorer)).read([])
+    assert (slots.tolist(), inner) == ([slot[-1]], within[-1])
