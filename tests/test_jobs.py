@@ -10,6 +10,7 @@ from helpers import as_dict, d, one
 from pyspark.sql import functions as F
 
 from filigree.cell import ok
+from filigree.functions import dates as D
 from filigree.operators import evidence as EV
 from filigree.operators import keyed as K
 from filigree.operators import quality as Q
@@ -203,6 +204,20 @@ def test_fact_points_are_stored_skipped_or_rejected(spark):
     assert stored[1].value == 1.5e9 and stored[1].period_start is None and stored[0].fiscal_year == 2024
 
 
+def test_documents_and_points_are_read_once(spark):
+    documents = spark.createDataFrame([("0000000001", document([point()]))], "cik string, payload string")
+    parsed = DOC.parse_companyfacts(documents)
+    for rows, dates in ((DOC.stored_facts(DOC.fact_points(parsed)), 3), (DOC.taxonomy_coverage(parsed), 0)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("from_json("), plan.count(r"^\d{4}-")) == (1, dates)
+
+
+def test_dates_are_strict(spark):
+    texts = ["2024-02-29", " 2024-12-31T10:00:00 ", "2023-02-29", "2024-13-01", "2024-1-01", "24-01-01", "", None, "0000-01-01", "9999-12-31", "20240-01-01"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(D.iso_date(F.col("t")).cast("string"))
+    assert [r[0] for r in got.collect()] == ["2024-02-29", "2024-12-31", None, None, None, None, None, None, "0000-01-01", "9999-12-31", None]
+
+
 def test_unusable_documents(spark):
     assert one(parse(spark, document([point()], cik=2))).problem == "CIK_MISMATCH"
     assert one(parse(spark, "not json")).problem == "MISSING_OR_INVALID_CIK"

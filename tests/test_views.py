@@ -36,6 +36,16 @@ def test_facts_are_shuffled_before_they_are_unfolded_only(spark, sf_dir):
     assert _plan(X.periods(X.line_facts(facts))).count(SHUFFLE) == _plan(facts).count(SHUFFLE)
 
 
+def test_columns_beside_facts_are_joined_before_they_are_unfolded(spark, sf_dir):
+    facts = Inputs(spark, sf_dir).facts()
+    beside = spark.createDataFrame([("0001000001", "a"), ("0001000001", "b"), (None, "c")], "cik string, x string")
+    wide = Inputs(spark, sf_dir).facts(beside=beside)
+    expected = facts.join(beside, "cik").select(wide.columns)
+    assert sorted(wide.collect(), key=str) == sorted(expected.collect(), key=str) and wide.count() > 0
+    plan = Q.fact_documents(Inputs(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("posexplode")].count("Join Inner") == 1  # the constants of each value
+
+
 def test_stored_facts_are_in_buckets(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     stored = i.stored_facts()
