@@ -38,14 +38,14 @@ def with_previous(
     """
     content, order = F.struct(*payload), F.struct(*arrival)
     cut = rows.withColumn("_slice", _slice_of(rows.schema[arrival[0]].dataType, F.col(arrival[0]), slice_width))
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(*arrival)
+    # one struct: its NULL fields are equal to each other in a plain join, which then finds the rows where the window has put them
+    cut = cut.withColumn("_key", F.struct(*keys, "_slice"))
+    in_slice = Window.partitionBy("_key").orderBy(*arrival)
     inner = cut.withColumn("_prev", F.lag(content).over(in_slice))
-    ends = cut.groupBy(*keys, "_slice").agg(F.max_by(content, order).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    before = ends.withColumn("_before", F.lag("_tail").over(across)).where(F.col("_before").isNotNull())
-    before = before.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_slice")], "_before")
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_slice")])
-    joined = inner.join(before, same, "left").withColumn("previous", F.coalesce("_prev", "_before"))
+    ends = cut.groupBy("_key").agg(F.max_by(content, order).alias("_tail"))
+    across = Window.partitionBy(*[F.col("_key").getField(k) for k in keys]).orderBy("_key._slice")
+    before = ends.withColumn("_before", F.lag("_tail").over(across)).where(F.col("_before").isNotNull()).select("_key", "_before")
+    joined = inner.join(before, "_key", "left").withColumn("previous", F.coalesce("_prev", "_before"))
     return joined.select(*rows.columns, "previous")
 
 

@@ -18,15 +18,22 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def classify(stored: DataFrame, batch: DataFrame, keys: list[str], columns: list[str], provenance=PROVENANCE) -> DataFrame:
+def classify(stored: DataFrame, batch: DataFrame, keys: list[str], columns: list[str], provenance=PROVENANCE, *, in_place: bool = False) -> DataFrame:
     """Every key of either side with its status. ``batch`` holds each key once.
 
     Content is compared without the provenance columns. Both sides are unique by key,
-    so no join partition can grow by a repeated key.
+    so no join partition can grow by a repeated key. With ``in_place`` a side that an aggregate by key has dealt is not
+    dealt again: keys without NULL are joined by plain equality, the few others beside them.
     """
     old = stored.select(F.struct(*columns).alias("old"), *[F.col(k).alias(f"_o_{k}") for k in keys])
     new = batch.select(F.struct(*columns).alias("new"), *[F.col(k).alias(f"_n_{k}") for k in keys])
-    both = old.join(new, _all([F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}")) for k in keys]), "full_outer")
+    alike = _all([F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}")) for k in keys])
+    if in_place:
+        equal = _all([F.col(f"_o_{k}") == F.col(f"_n_{k}") for k in keys])
+        old_known, new_known = (_all([F.col(f"_{side}_{k}").isNotNull() for k in keys]) for side in "on")
+        both = old.where(old_known).join(new.where(new_known), equal, "full_outer").unionAll(old.where(~old_known).join(new.where(~new_known), alike, "full_outer"))
+    else:
+        both = old.join(new, alike, "full_outer")
     same = _all([F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in columns if c not in provenance and c not in keys])
     status = (
         F.when(F.col("old").isNull(), INSERTED).when(F.col("new").isNull(), KEPT).when(same, UNCHANGED).otherwise(UPDATED)

@@ -145,6 +145,27 @@ def test_upsert_counts_and_replay(spark):
     assert (totals.inserted, totals.duplicates) == (2, 2)
 
 
+def test_aggregated_sides_meet_in_place(spark):
+    rows = [(1, None, 5), (1, 2, 6), (None, None, 7), (None, 2, 8), (4, 4, 1), (4, 5, 3)]
+    stored = spark.createDataFrame([*rows, (4, 4, 2), (9, 9, 9), (None, 9, 9)], "k int, j int, x int")
+    stored = stored.unionAll(stored.where("k = 9 OR j = 9 OR j = 5"))  # repeated keys stay
+    batch = spark.createDataFrame([(1, None, 5), (None, None, 0), (4, 4, 1), (5, None, 1), (6, 6, 6), (4, 5, 3)], "k int, j int, x int")
+    keys, columns = ["k", "j"], ["k", "j", "x"]
+    safe, in_place = (U.classify(stored, batch, keys, columns, in_place=p) for p in (False, True))
+    assert sorted(in_place.collect(), key=str) == sorted(safe.collect(), key=str) and safe.count() == 14
+    a, b = (df.groupBy(*keys).agg(F.max("x").alias("x")).select(*columns) for df in (stored, batch))
+    both = U.classify(a, b, keys, columns, in_place=True)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # one for each side, and for the keys with NULL one before and one after their aggregate
+        assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 6
+        seen = K.with_previous(stored, keys, ["x"], ["x"])._jdf.queryExecution().executedPlan().toString()
+        assert seen.count("Exchange hashpartitioning") == 4  # rows, ends of slices, ends by key, and those with one before them
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_upsert_by_table_name_with_null_key_parts(table):
     row = {"cik": "0000000001", "taxonomy": "us-gaap", "concept": "Cash", "unit": "USD", "value": 1.0, "period_end": d("2024-12-31"), "accession_no": "a", "source_id": 1}
     stored = table("financial_facts", row)

@@ -46,6 +46,18 @@ def test_columns_beside_facts_are_joined_before_they_are_unfolded(spark, sf_dir)
     assert plan[: plan.index("posexplode")].count("Join Inner") == 1  # the constants of each value
 
 
+def test_shared_periods_and_quotes_are_written_once(spark, sf_dir):
+    days = [datetime.date(2000, 3, 1), datetime.date(2001, 5, 1), None]
+    items = [(k, 1, k % 3 if k % 5 else None, 1 + k % 2, 100.0 + k, 0.1, 0.1, "O", "N", 1.0, days[k % 3]) for k in range(12)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_tax double, l_discount double, l_linestatus string, l_returnflag string, l_quantity double, l_shipdate date"
+    spark.createDataFrame(items, schema).write.parquet(f"{sf_dir}/lineitem.parquet")
+    i = Inputs(spark, sf_dir)
+    shared = i.shared()
+    for made, kept in ((i.facts(), shared.facts()), (i.facts(True), shared.facts(True)), (i.quotes(), shared.quotes()), (i.bars().select("security_id").distinct(), shared.listed())):
+        assert sorted(made.collect(), key=str) == sorted(kept.collect(), key=str) and made.columns == kept.columns
+    assert SHUFFLE not in _plan(shared.facts()) + _plan(shared.quotes())
+
+
 def test_stored_facts_are_in_buckets(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     stored = i.stored_facts()
