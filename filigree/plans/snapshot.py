@@ -54,10 +54,11 @@ def ttm_metrics(periods, by_tag_pairs, needs: Needs) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "cik", "full_outer"), parts)
 
 
-def issuer_fundamentals(facts: DataFrame, issuers: DataFrame | None, as_of, *, reuse: bool = True, needs: Needs | None = None, buckets: int | None = None) -> DataFrame:
+def issuer_fundamentals(facts: DataFrame, issuers: DataFrame | None, as_of, *, reuse: bool = True, needs: Needs | None = None, buckets: int | None = None, listed: DataFrame | None = None) -> DataFrame:
     """One row per issuer with every metric that needs no price, and the line selections behind them.
 
     Without ``issuers`` there is a row for each issuer that reports one of the lines read. With ``needs`` only what those metrics rest on is read, and only they are made.
+    ``listed`` has the ``cik`` of all ``issuers``: where several branches read the facts, the join with the issuers is done on the facts already.
     """
     needs = needs or ALL
     annual, sheet, paired, ttm = (needs.lines(k) for k in (N.ANNUAL, N.SHEET, N.PAIR, N.TTM))
@@ -67,6 +68,8 @@ def issuer_fundamentals(facts: DataFrame, issuers: DataFrame | None, as_of, *, r
     if read:
         branches = sum(map(bool, (annual or sheet, paired, ttm))) + 1
         anchored = bool(annual or sheet or paired)
+        if listed is not None and reuse and branches > 2:
+            facts = facts.join(stage(listed.distinct()), "cik", "left_semi")
         _, periods = statement_frames(facts, lines=read, reuse=reuse and branches > 2, anchors=anchored, buckets=buckets)
         if anchored:
             parts.append(periods.groupBy("cik").agg(F.first("fy_end").alias("fy_end"), F.first("sheet_end").alias("sheet_end")))
@@ -116,7 +119,7 @@ def issuer_metrics(tables: Tables, as_of, *, reuse: bool = True, needs: Needs |
         row = tables.securities.where(F.col("cik").isNotNull()).select("cik").distinct()
     made = [m for m in needs.metrics() if m in FUNDAMENTAL_METRICS]
     if needs.statements():
-        row = issuer_fundamentals(tables.facts, row, as_of, reuse=reuse, needs=needs, buckets=tables.fact_buckets)
+        row = issuer_fundamentals(tables.facts, row, as_of, reuse=reuse, needs=needs, buckets=tables.fact_buckets, listed=tables.securities.select("cik"))
     if tables.sources is not None and needs.statements():
         row = row.join(fundamentals_coverage(tables.sources), "cik", "left")
     else:

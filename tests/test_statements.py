@@ -64,6 +64,19 @@ def issuer(spark, df, as_of="2025-12-01"):
     return one(S.issuer_fundamentals(df, df.select("cik").distinct(), as_of, reuse=False))
 
 
+def test_facts_are_joined_with_listed_issuers_before_anything_is_grouped(spark, facts, monkeypatch):
+    rows = [("Revenues", 120, *Y24, "2025-02-01", "b"), ("Revenues", 100, *Y23, "2025-02-01", "b"), ("StockholdersEquity", 9, None, "2024-12-31", "2025-02-01", "b")]
+    df = facts(*rows).unionAll(facts(*rows, cik="0000000002")).unionAll(facts(*rows, cik=None))
+    issuers = spark.createDataFrame([("0000000002",), ("0000000003",)], "cik string")
+    plain = S.issuer_fundamentals(df, issuers, "2025-12-01").collect()
+    kept, staged = S.stage, []
+    monkeypatch.setattr(S, "stage", lambda frame, *more: staged.append(kept(frame, *more)) or staged[-1])
+    listed = issuers.unionAll(issuers).unionAll(spark.createDataFrame([(None,)], "cik string"))
+    made = S.issuer_fundamentals(df, issuers, "2025-12-01", listed=listed).collect()
+    assert sorted(made, key=str) == sorted(plain, key=str) and {r.cik for r in made} == {"0000000002", "0000000003"}
+    assert {r.cik for frame in staged[1:] for r in frame.select("cik").collect()} == {"0000000002"}
+
+
 def test_annual_metrics(spark, facts):
     rows = [("Revenues", 120, *Y24), ("Revenues", 100, *Y23), ("GrossProfit", 60, *Y24), ("GrossProfit", 40, *Y23),
             ("NetCashProvidedByUsedInOperatingActivities", 30, *Y24), ("NetCashProvidedByUsedInOperatingActivities", 20, *Y23),
